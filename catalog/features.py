@@ -10,16 +10,6 @@ from tapewright.functions.fixed_values import BOOLEAN_CODES, FEATURE_CODES, MIN_
 from tapewright.operators import features as ops
 from tapewright.sources import adapters as src
 
-part("lagged", ("bars",), """
-  SELECT *, row_number() OVER w AS n_obs, lag(close, 1) OVER w AS pc, lag(close, 5) OVER w AS c5,
-         lag(close, 10) OVER w AS c10, lag(close, 20) OVER w AS c20, lag(close, 21) OVER w AS c21,
-         lag(close, 63) OVER w AS c63, lag(close, 126) OVER w AS c126
-  FROM bars WINDOW w AS (PARTITION BY series ORDER BY session)""")
-part("stepped", ("lagged",), """
-  SELECT *, close / nullif(pc, 0) - 1e0 AS ret, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr
-  FROM lagged""")
-
-
 def _avg(col: str, n: int) -> str:
     return (f"CASE WHEN n_obs >= {n} THEN CAST(sum({col}) OVER "
             f"(PARTITION BY series ORDER BY session ROWS {n - 1} PRECEDING) AS DOUBLE) / {n} END")
@@ -30,7 +20,22 @@ def _vol(n: int) -> str:
     return f"CASE WHEN count(ret) {over} = {n} THEN stddev_samp(ret) {over} * sqrt(252e0) END"
 
 
-part("averaged", ("stepped",), f"""
+_A20, _A50 = "CAST(2 AS DOUBLE) / 21", "CAST(2 AS DOUBLE) / 51"
+_RSI = """CASE WHEN n_obs < 15 THEN NULL WHEN l = 0 THEN CASE WHEN g = 0 THEN 50e0 ELSE 100e0 END
+  WHEN g = 0 THEN 0e0 ELSE 100e0 - 100e0 / (1e0 + g / l) END"""
+
+
+def feature_parts(base: str) -> str:
+    """Register the window steps over relation `base`; return the recursive step and `features` itself."""
+    part(f"lagged_{base}", (base,), f"""
+  SELECT *, row_number() OVER w AS n_obs, lag(close, 1) OVER w AS pc, lag(close, 5) OVER w AS c5,
+         lag(close, 10) OVER w AS c10, lag(close, 20) OVER w AS c20, lag(close, 21) OVER w AS c21,
+         lag(close, 63) OVER w AS c63, lag(close, 126) OVER w AS c126
+  FROM {base} WINDOW w AS (PARTITION BY series ORDER BY session)""")
+    part(f"stepped_{base}", (f"lagged_{base}",), f"""
+  SELECT *, close / nullif(pc, 0) - 1e0 AS ret, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr
+  FROM lagged_{base}""")
+    part(f"averaged_{base}", (f"stepped_{base}",), f"""
   SELECT *, {', '.join(f'{_avg("close", n)} AS "SMA_{n}"' for n in (20, 50, 100, 200))},
          {', '.join(f'{_avg("volume", n)} AS "AVG_VOLUME_{n}"' for n in (20, 50))},
          CASE WHEN count(traded_value) OVER (PARTITION BY series ORDER BY session ROWS 19 PRECEDING) = 20
@@ -38,13 +43,12 @@ part("averaged", ("stepped",), f"""
          {_vol(20)} AS "VOLATILITY_20", {_vol(60)} AS "VOLATILITY_60",
          CASE WHEN n_obs > 20 THEN max(high) OVER (PARTITION BY series ORDER BY session
               ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS ph
-  FROM stepped""")
-_A20, _A50 = "CAST(2 AS DOUBLE) / 21", "CAST(2 AS DOUBLE) / 51"
-SMOOTH = f"""smooth AS (
+  FROM stepped_{base}""")
+    smooth = f"""smooth AS (
   SELECT series, n_obs, close, CAST(close AS DOUBLE) AS s20, CAST(close AS DOUBLE) AS s50,
          CAST(NULL AS DOUBLE) AS e20, CAST(NULL AS DOUBLE) AS e50, 0e0 AS g, 0e0 AS l,
          CAST(tr AS DOUBLE) AS a
-  FROM stepped WHERE n_obs = 1
+  FROM stepped_{base} WHERE n_obs = 1
   UNION ALL
   SELECT b.series, b.n_obs, b.close, s20 + b.close, s50 + b.close,
          CASE WHEN b.n_obs < 20 THEN NULL WHEN b.n_obs = 20 THEN (s20 + b.close) / 20
@@ -59,11 +63,9 @@ SMOOTH = f"""smooth AS (
               ELSE (l * 13e0 + greatest(s.close - b.close, 0)) / 14e0 END,
          CASE WHEN b.n_obs < 14 THEN a + b.tr WHEN b.n_obs = 14 THEN (a + b.tr) / 14
               ELSE (a * 13e0 + b.tr) / 14e0 END
-  FROM smooth s JOIN stepped b ON b.series = s.series AND b.n_obs = s.n_obs + 1
+  FROM smooth s JOIN stepped_{base} b ON b.series = s.series AND b.n_obs = s.n_obs + 1
 )"""
-_RSI = """CASE WHEN n_obs < 15 THEN NULL WHEN l = 0 THEN CASE WHEN g = 0 THEN 50e0 ELSE 100e0 END
-  WHEN g = 0 THEN 0e0 ELSE 100e0 - 100e0 / (1e0 + g / l) END"""
-FEATURES = SMOOTH + f""",
+    return smooth + f""",
 features AS (
   SELECT series, session, n_obs, open, high, low, close, volume, traded_value,
     close / nullif(pc, 0) - 1e0 AS "RET_1D", close / nullif(c5, 0) - 1e0 AS "RET_5D",
@@ -82,12 +84,13 @@ features AS (
     close > "SMA_20" AS "ABOVE_SMA_20", close > "SMA_50" AS "ABOVE_SMA_50", close > "SMA_200" AS "ABOVE_SMA_200",
     "SMA_20" > "SMA_50" AS "SMA_20_ABOVE_50", "SMA_50" > "SMA_200" AS "SMA_50_ABOVE_200",
     CAST(ph AS DOUBLE) AS "PRIOR_HIGH_20", close / nullif(ph, 0) - 1e0 AS "BREAKOUT_PCT_20"
-  FROM averaged JOIN (SELECT series, n_obs, e20, e50, g, l, a FROM smooth) USING (series, n_obs)
+  FROM averaged_{base} JOIN (SELECT series, n_obs, e20, e50, g, l, a FROM smooth) USING (series, n_obs)
 )"""
 
 
-def with_features(body: str, *needs: str, more: str = "") -> str:
-    return sql(body, "averaged", *needs, recursive=FEATURES + more)
+def with_features(body: str, *needs: str, base: str = "bars", more: str = "") -> str:
+    recursive = feature_parts(base)
+    return sql(body, f"averaged_{base}", *needs, recursive=recursive + more)
 
 
 def out_columns(codes) -> str:

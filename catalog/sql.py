@@ -135,3 +135,17 @@ part("artifact_log", (), """
          CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS conflicts,
          CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS warnings
   FROM events""")
+part("classifications", ("securities",), """
+  SELECT series, macro, sector, industry, basic_industry, DATE '1996-01-01' AS snapshot_date,
+         TIMESTAMP '1996-01-02 10:00:00' AS available_at FROM securities
+  UNION ALL
+  SELECT series, macro, CASE WHEN series % 9 = 0 THEN sector || '_B' ELSE sector END, industry, basic_industry,
+         DATE '2000-01-03', TIMESTAMP '2000-01-04 10:00:00' FROM securities""")
+part("reports", ("filings",), """
+  SELECT entity, period_end, CAST(available_at AS DATE) AS reported_on,
+         CAST(available_at AS DATE) + CAST(entity % 5 AS INTEGER) AS effective_on, cents FROM filings""")
+part("runs", ("artifact_log",), """
+  SELECT artifact_id AS run_id, provider || '_' || artifact_type AS dataset_code, status, imported_at AS started_at,
+         date_trunc('second', imported_at) + to_seconds(inserted % 600) AS completed_at, artifact_type AS experiment,
+         sha256, sha256(provider || '|' || CAST(inserted % 5 AS VARCHAR)) AS result_sha
+  FROM artifact_log""")

@@ -99,10 +99,9 @@ def feature_frame(
         **{f"_lag{n}": F.lag("close", n).over(w) for n in sorted(set(RETURN_LAGS.values()) - {1})},
     }
     frame = bars.select(
-        *keys, "session", *[c for c in keep if c not in keys], "open", "high", "low", "close", "volume",
-        "traded_value",
-    ).withColumns({f"_k_{c}": F.col(c) for c in keep}).drop(*[c for c in keep if c not in keys and c not in (
-        "open", "high", "low", "close", "volume", "traded_value")]).withColumns(base)
+        *keys, "session", "open", "high", "low", "close", "volume", "traded_value",
+        *[F.col(c).alias(f"_k_{c}") for c in keep],
+    ).withColumns(base)
 
     def mean(total_col: str, n: int) -> Column:
         gone = F.coalesce(F.lag(total_col, n).over(w), F.lit(0))
@@ -146,7 +145,7 @@ def feature_frame(
         "BREAKOUT_PCT_20": change(close, F.col("PRIOR_HIGH_20")),
     }
     return frame.select(
-        *keys, "session", "n_obs", *[F.col(f"_k_{c}").alias(c) for c in keep if c not in keys],
+        *keys, "session", "n_obs", *[F.col(f"_k_{c}").alias(c) for c in keep],
         *[exprs.get(c, F.col(c)).alias(c) for c in codes],
     )
 

@@ -223,3 +223,33 @@ def artifact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, k % 7).otherwise(0).alias("rejected"), F.when(k % 19 == 0, 1).otherwise(0).cast("bigint")
         .alias("conflicts"), F.when(k % 11 == 0, 2).otherwise(0).cast("bigint").alias("warnings"),
     )
+
+
+def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots; every ninth series moves to another sector in the second."""
+    base = securities(spark, sf_dir).select("series", "macro", "sector", "industry", "basic_industry")
+    first = base.withColumn("snapshot_date", day("1996-01-01"))
+    moved = F.when(F.col("series") % 9 == 0, F.concat(F.col("sector"), F.lit("_B"))).otherwise(F.col("sector"))
+    second = base.withColumn("sector", moved).withColumn("snapshot_date", day("2000-01-03"))
+    return first.unionByName(second).withColumn("available_at", at(F.date_add("snapshot_date", 1), 36000))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One simple report per nation and quarter, effective a few days after it was reported."""
+    return filings(spark, sf_dir).select(
+        "entity", "period_end", F.to_date("available_at").alias("reported_on"),
+        F.date_add(F.to_date("available_at"), (F.col("entity") % 5).cast("int")).alias("effective_on"), "cents",
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` read as ingestion runs."""
+    log = artifact_log(spark, sf_dir)
+    return log.select(
+        F.col("artifact_id").alias("run_id"),
+        F.concat(F.col("provider"), F.lit("_"), F.col("artifact_type")).alias("dataset_code"), "status",
+        F.col("imported_at").alias("started_at"),
+        F.timestamp_seconds(F.unix_seconds("imported_at") + F.col("inserted") % 600).alias("completed_at"),
+        F.col("artifact_type").alias("experiment"), "sha256",
+        F.sha2(F.concat_ws("|", "provider", (F.col("inserted") % 5).cast("string")), 256).alias("result_sha"),
+    )
