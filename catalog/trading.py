@@ -66,10 +66,11 @@ part("effects", ("actions", "cal", "calendar"), """
     SELECT 1 FROM actions b WHERE b.supersedes_id = a.id
     AND b.available_at <= a.ex_date + to_seconds(33300) - INTERVAL 330 MINUTE)""")
 part("entries", ("setups", "cal", "tape"), f"""
-  SELECT s.series, s.signal, c.idx + 1 AS entry, last_idx, c.idx + 1 + {HOLD} AS scheduled,
-         c.idx + 1 + {HOLD} > last_idx AS forced, t.session AS entry_session, t.o AS raw_entry,
+  SELECT s.series, s.signal, c.idx + 1 AS entry, c.last_idx, c.idx + 1 + {HOLD} AS scheduled,
+         c.idx + 1 + {HOLD} > c.last_idx AS forced, ce.session AS entry_session, t.o AS raw_entry,
          CAST(round(t.o * 1.0005, 4) AS DECIMAL(18,4)) AS slipped_entry
   FROM setups s LEFT JOIN cal c ON c.session = s.signal AND c.idx + 1 <= c.last_idx
+       LEFT JOIN cal ce ON ce.idx = c.idx + 1
        LEFT JOIN tape t ON t.series = s.series AND t.idx = c.idx + 1""")
 part("lasts", ("entries", "tape"), """
   SELECT e.series, e.signal, max(t.idx) AS last_close FROM entries e JOIN tape t ON t.series = e.series

@@ -96,8 +96,8 @@ def price_setups(
     else:
         tape = tape.withColumns({"factors": F.array().cast("array<decimal(19,18)>"),
                                  "notes": F.array().cast("array<string>")})
-    tape = tape.join(day, "session").withColumnRenamed("session", "day")
-    rows = path.join(tape, ["series", "p"], "left")
+    tape = tape.join(day, "session").drop("session")
+    rows = path.join(day.withColumnRenamed("session", "day"), "p").join(tape, ["series", "p"], "left")
 
     setup = Window.partitionBy("series", "signal")
     ordered = setup.orderBy("p")
