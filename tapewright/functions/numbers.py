@@ -53,3 +53,23 @@ def price_to_ticks(col: Column) -> Column:
 def money(col: Column) -> Column:
     """Half-up to the hundredth."""
     return F.round(col, 2).cast("decimal(24,2)")
+
+
+def whole_div(numerator: Column, denominator: Column) -> Column:
+    """Integer quotient towards zero, null for a zero denominator."""
+    return F.call_function("div", numerator, F.nullif(denominator, F.lit(0)))
+
+
+def half_up_div(numerator: Column, denominator: Column) -> Column:
+    """Integer quotient of a by b > 0, halves away from zero; exact, so every engine agrees on ties."""
+    return F.signum(numerator).cast("bigint") * whole_div(
+        F.abs(numerator) * 2 + denominator, denominator * 2)
+
+
+def units8(col: Column) -> Column:
+    """decimal(18,8) as a bigint count of 1e-8."""
+    return (col * F.lit(10**8)).cast("bigint")
+
+
+def cents(col: Column) -> Column:
+    return (col * F.lit(100)).cast("bigint")
