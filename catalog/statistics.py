@@ -131,9 +131,10 @@ add("n7_holdout_split", lambda s, p: analytics.holdout_split(decided(s, p), "199
     trade_sql(metrics_sql(), more=HOLD))
 add("n8_return_histogram",
     lambda s, p: analytics.return_histogram(decided(s, p)),
-    trade_sql(f"""SELECT CAST(b AS BIGINT) AS bin, {r8('lo + w * b')} AS lower, {r8('lo + w * (b + 1)')} AS upper,
-      (SELECT count(*) FROM closed WHERE least(floor((net_return - lo) / w), 7) = b) AS trades
-      FROM (SELECT min(net_return) AS lo, (max(net_return) - min(net_return)) / 8 AS w FROM closed), range(8) t(b)""",
+    trade_sql(f"""SELECT CAST(t.b AS BIGINT) AS bin, {r8('m.low_ + m.wide_ * t.b')} AS lower,
+      {r8('m.low_ + m.wide_ * (t.b + 1)')} AS upper,
+      (SELECT count(*) FROM closed c WHERE least(floor((c.net_return - m.low_) / m.wide_), 7) = t.b) AS trades
+      FROM (SELECT min(net_return) AS low_, (max(net_return) - min(net_return)) / 8 AS wide_ FROM closed) m, range(8) t(b)""",
               more=f",\n{CLOSED}"))
 
 # --- G -----------------------------------------------------------------------------------------------------------
