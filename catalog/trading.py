@@ -33,7 +33,8 @@ def priced(s, p):
 
 
 def decided(s, p):
-    return trades.no_overlap(priced(s, p))
+    """Kept for the several passes that statistics make over it; lost blocks are rebuilt from lineage."""
+    return trades.no_overlap(priced(s, p)).persist()
 
 
 def taken(s, p):
