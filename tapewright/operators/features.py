@@ -108,13 +108,13 @@ def feature_frame(
         return F.when(F.col("n_obs") >= n, as_double(F.col(total_col) - gone) / F.lit(float(n)))
 
     def deviation(n: int) -> Column:
-        f = w.rowsBetween(-n + 1, 0)
-        full = F.count("_ret").over(f) == n
-        return F.when(full, F.stddev_samp("_ret").over(f) * F.sqrt(F.lit(float(SESSIONS_PER_YEAR))))
+        seen = F.col("_cnt_ret") - F.coalesce(F.lag("_cnt_ret", n).over(w), F.lit(0))
+        spread = F.stddev_samp("_ret").over(w.rowsBetween(-n + 1, 0))
+        return F.when(seen == n, spread * F.sqrt(F.lit(float(SESSIONS_PER_YEAR))))
 
     values_seen = F.col("_cnt_value") - F.coalesce(F.lag("_cnt_value", 20).over(w), F.lit(0))
     true_range = F.greatest(high - low, F.abs(high - F.col("_pc")), F.abs(low - F.col("_pc")))
-    frame = frame.withColumns({
+    frame = frame.withColumn("_cnt_ret", F.count("_ret").over(total)).withColumns({
         **{f"SMA_{n}": mean("_sum_close", n) for n in (20, 50, 100, 200)},
         **{f"AVG_VOLUME_{n}": mean("_sum_volume", n) for n in (20, 50)},
         "AVG_TRADED_VALUE_20": F.when(values_seen == 20, mean("_sum_value", 20)),

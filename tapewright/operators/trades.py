@@ -89,15 +89,15 @@ def price_setups(
         "series", "signal", first.alias("entry"), "last_idx", F.explode(F.sequence(first, reach)).alias("p"))
 
     day = cal.select("session", F.col("idx").alias("p"))
-    tape = bars.select("series", "session", "open", "high", "low", "close")
+    tape = bars.select("series", "session", "open", "high", "low", "close").join(day, "session").drop("session")
+    rows = path.join(day.withColumnRenamed("session", "day"), "p").join(tape, ["series", "p"], "left")
     if actions is not None:
-        effects = hold_effects(actions, calendar, st.exchange)
-        tape = tape.join(effects, ["series", "session"], "full")
+        # effects are as few as actions; joined to the paths, so a session without a bar keeps its effect
+        effects = hold_effects(actions, calendar, st.exchange).join(day, "session").drop("session")
+        rows = rows.join(effects, ["series", "p"], "left")
     else:
-        tape = tape.withColumns({"factors": F.array().cast("array<decimal(19,18)>"),
+        rows = rows.withColumns({"factors": F.array().cast("array<decimal(19,18)>"),
                                  "notes": F.array().cast("array<string>")})
-    tape = tape.join(day, "session").drop("session")
-    rows = path.join(day.withColumnRenamed("session", "day"), "p").join(tape, ["series", "p"], "left")
 
     setup = Window.partitionBy("series", "signal")
     ordered = setup.orderBy("p")

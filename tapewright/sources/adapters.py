@@ -2,6 +2,9 @@
 
 bars come from ``lineitem``: series = supplier, session = Monday of the ship week. The group-by combines on the
 map side, so a supplier holding a third of all line items still shuffles one row per task and session.
+
+`bars` and `calendar` stand for tables a user would have stored; they are kept in executor storage (memory, then
+disk), laid out by series and session as `sinks.write_tape` would, and rebuilt from lineage where a block is lost.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "series", "session", "open", "high", "low", "close", "volume",
         F.when(F.col("volume") % 53 != 0, value).alias("traded_value"), "n",
-    )
+    ).repartition("series").sortWithinPartitions("series", "session").persist()
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weeks.select(
         F.lit("X").alias("exchange"), "session", F.lit(True).alias("is_trading_day"),
         F.lit(33300).alias("open_s"), F.when(number.cast("int") % 13 != 5, F.lit(55800)).alias("close_s"),
-    )
+    ).persist()
 
 
 def full_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
