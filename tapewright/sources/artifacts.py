@@ -215,8 +215,8 @@ def xbrl_facts(linked_files: DataFrame) -> DataFrame:
                         bytes(r.content), r.symbol, r.scope, r.period_end)]
                 except ValueError as exc:
                     rows.append({"file_name": r.file_name, "error": str(exc)})
-            made = pd.DataFrame(rows, columns=columns)
-            yield made.astype({"fiscal_year": "Int32", "fiscal_quarter": "Int32"})
+            made = pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
+            yield made
 
     return linked_files.select("file_name", "content", "symbol", "scope", "period_end").mapInPandas(parse, FACT_SCHEMA)
 
