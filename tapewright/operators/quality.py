@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.pit import session_index
 
-SEVERITY = {"HEALTHY": 0, "WARNING": 1, "FAILED": 2}
+
 
 
 def ohlc_flags() -> Column:
@@ -19,7 +19,7 @@ def ohlc_flags() -> Column:
     return sum(F.when(rule, 1).otherwise(0) for rule in rules)
 
 
-def _check(name: str, issues: Column, bad: str, **more: Column) -> list[Column]:
+def _check(name: str, issues: Column, bad: str) -> list[Column]:
     n = F.coalesce(issues, F.lit(0)).cast("bigint")
     return [F.lit(name).alias("check"), F.when(n > 0, bad).otherwise("HEALTHY").alias("status"), n.alias("issue_count")]
 
