@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tapewright.llm import embedding_classifier, toxicity
+from tapewright.llm import chosen_path, embedding_classifier, factoring, suffix_columns, toxicity
 
 QUERIES = {
     "op2_embedding_classifier": embedding_classifier.quality,
+    "op3_suffix_columns": suffix_columns.query,
+    "op4_chosen_path": chosen_path.query,
+    "op6_relative_lz": factoring.query,
     "op7_toxicity_ftrl": toxicity.toxicity,
 }
 ORACLES: dict[str, str] = {}
