@@ -7,8 +7,6 @@ splitting skewed partitions.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -30,16 +28,17 @@ def build_session(name: str, master: str | None = None, **conf: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: what the session names in spark.checkpoint.dir or was told by hand."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the session names; a temporary one is chosen only for a local master."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """Checkpoint into the folder the session names; without one this fails, on every kind of master."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if folder:
-            context.setCheckpointDir(folder)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tapewright-"))
-        else:
-            return df
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
