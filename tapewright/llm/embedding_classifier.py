@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import rows, text
@@ -155,6 +155,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def score_column(docs: DataFrame, model: Model) -> Column:
+    """The score as a column of `docs`, for filters that keep all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array([score_bytes(shared.value, t) for t in text.texts_of(batch)], pa.float64())
+
+    return scored(F.col("text").cast("binary"))
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: learn where crc32(doc_id) mod 3 is not 1, score every document."""
     docs, labels = rows.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from tapewright.llm import chosen_path, embedding_classifier, factoring, suffix_columns, toxicity
+from tapewright.llm import (
+    chosen_path, divergence_rules, dom_boost, embedding_classifier, factoring, monoid_bpe, multi_index, packing, suffix_columns, toxicity)
 
 QUERIES = {
+    "op1_multi_index": multi_index.query,
     "op2_embedding_classifier": embedding_classifier.quality,
     "op3_suffix_columns": suffix_columns.query,
     "op4_chosen_path": chosen_path.query,
+    "op5_dom_boost": dom_boost.query,
     "op6_relative_lz": factoring.query,
     "op7_toxicity_ftrl": toxicity.toxicity,
+    "op8_divergence_rules": divergence_rules.query,
+    "op9_monoid_bpe": monoid_bpe.query,
+    "op10_vector_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_divergence_rules": divergence_rules.oracle_sql()}
