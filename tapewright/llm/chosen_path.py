@@ -8,9 +8,10 @@
 3. In a node classes are compared by short sketches of their tokens: each joins the first leader it resembles. Only these
    stars leave the node, so a group of m near copies gives about m pairs, not m squared. A node that stays large is dealt
    into blocks of `node_limit`, and the blocks' leaders are compared in the node.
-4. Pairs whose full signatures agree well enough are confirmed on the full sets, read from the texts.
-5. Classes of a node that resemble each other but are not yet connected are paired in further rounds, first with the
-   partners most alike, in the end with all, until no untested pair is left. So no candidate link is lost to step 3.
+4. Stars are confirmed on the full sets, read from the texts, and their links give components.
+5. Classes of a node that resemble each other but are not yet connected meet: all classes of a component and all that
+   resemble it are compared, full signatures first, then full sets, until they are one component or no pair is left. So no
+   candidate link is lost to step 3, and pairs never leave a task unless they are links.
 
 Defined results: no words or null text: empty set, linked with nothing. Fewer words than a shingle has: the whole sequence
 is the one shingle. Rows that repeat an id are one document and get the same answer each. A null id takes part in its
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count as integers
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from tapewright.session import cut_lineage
 
 TOKENS = 128
 SKETCH = 32
+BUCKETS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -271,10 +272,12 @@ def stars(nodes: DataFrame, settings: Settings) -> DataFrame:
     return pairs.distinct()
 
 
-def across(nodes: DataFrame, labels: DataFrame, settings: Settings, partners: int | None) -> DataFrame:
-    """(u, v): alike in a node but not connected, each with at most so many partners per component (None: all).
+def meetings(nodes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """(x, target): classes that resemble another component's class in a node, each with the component to be compared with.
 
-    Classes outside a node's commonest component go to every block of the node, so blocks hide no pair.
+    In a node every class outside the commonest component names that component if it resembles one of its classes; of the
+    others, the first becomes a centre for those it resembles, and so on. Two that are alike and share no centre get one. So
+    a crowd costs a few rows a class, not a row a pair. Outside classes go to every block of a node: blocks hide no pair.
     """
     marked = nodes.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     sizes = marked.groupBy("path", "label").agg(F.count("*").alias("n"))
@@ -288,61 +291,142 @@ def across(nodes: DataFrame, labels: DataFrame, settings: Settings, partners: in
     def run(batches):
         for _, table in _groups(batches, 2):
             batch = _one(table)
-            reps, label = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            reps, label, out = (batch.column(i).to_numpy() for i in (2, 3, 4))
             short = _matrix(batch, "sketch", np.uint8)
-            u, v = [], []
-            for i in np.flatnonzero(batch.column(4).to_numpy()):
-                alike = _agree(short[i], short)
-                good = np.flatnonzero((alike >= settings.sketch_match) & (label != label[i]))
-                if partners is not None and len(good) > 1:
-                    good = good[np.lexsort((reps[good], -alike[good], label[good]))]
-                    starts = np.concatenate([[True], label[good][1:] != label[good][:-1]])
-                    place = np.arange(len(good)) - np.maximum.accumulate(np.where(starts, np.arange(len(good)), 0))
-                    good = good[place < partners]
-                u.append(np.minimum(reps[good], reps[i]))
-                v.append(np.maximum(reps[good], reps[i]))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "u long, v long").distinct()
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs that are linked, decided on full sets; most that are not fall out by their signatures first."""
-    a = classes.select(F.col("rep").alias("u"), F.col("tokens").alias("tu"))
-    b = classes.select(F.col("rep").alias("v"), F.col("tokens").alias("tv"))
-
-    def like(batches):
+            strange = np.flatnonzero(out)
+            strange = strange[np.argsort(reps[strange], kind="stable")]
+            inner = np.flatnonzero(out == 0)
+            top = label[inner[0]] if len(inner) else None
+            # Centres: the commonest component, and strangers that resemble no earlier centre. Each goes to all it resembles.
+            goes = np.zeros((len(strange), 1), bool)
+            if len(inner):
+                goes[:, 0] = [bool((_agree(short[i], short[inner]) >= settings.sketch_match).any()) for i in strange]
+            targets, alike = [top], np.zeros((len(strange), len(strange)), bool)
+            for k, i in enumerate(strange):
+                alike[k] = (_agree(short[i], short[strange]) >= settings.sketch_match) & (label[strange] != label[i])
+                if not goes[k].any() and alike[k].any():
+                    goes = np.concatenate([goes, alike[k][:, None]], axis=1)
+                    goes[k, -1] = True
+                    targets.append(label[i])
+            for k in np.flatnonzero((goes.sum(axis=1) > 0)):
+                # Two that are alike and share no centre: one goes to the other's first as well.
+                apart = np.flatnonzero(alike[k, :k] & ~(goes[:k] & goes[k]).any(axis=1))
+                goes[k, np.unique(goes[apart].argmax(axis=1))] = True
+            pairs = {(int(reps[strange[k]]), int(targets[c])) for k, c in zip(*np.nonzero(goes), strict=True) if targets[c] != label[strange[k]]}
+            if pairs:
+                x, target = zip(*sorted(pairs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(target, pa.int64())], names=["x", "target"])
+
+    return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "x long, target long").distinct()
+
+
+def needed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the wanted ids (column doc_id), and few others, before any shuffle.
+
+    At most `BUCKETS` hash buckets of wanted ids are broadcast; where nearly all are wanted this leaves all in.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    return (rows.texts(docs).withColumn("bucket", bucket)
+            .join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket"))
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = int((large[at] == small).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def met(met_: DataFrame, labels: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """(u, v): a link, if there is any, for every two components of a meeting, decided on full sets.
+
+    A meeting holds the target's classes and all that came to it. Both are dealt into blocks, and every block of the whole
+    meets every block of the comers; within a task pairs are tried from the most alike on, until their components are one.
+    """
+    own = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    comers = met_.join(own.withColumnsRenamed({"rep": "x"}), "x", "left").select(
+        "target", F.col("x").alias("rep"), F.coalesce("label", "x").alias("label"), F.lit(1).alias("comes"))
+    targets = met_.select("target").distinct()
+    alone = targets.join(own.select(F.col("label").alias("target")).distinct(), "target", "left_anti").select("target", F.col("target").alias("rep"))
+    members = targets.join(own.withColumn("target", F.col("label")), "target").select("target", "rep").unionByName(alone)
+    whole = cut_lineage(members.select("target", "rep", F.col("target").alias("label"), F.lit(0).alias("comes")).unionByName(comers))
+    counts = whole.groupBy("target").agg(
+        F.ceil(F.count("*") / settings.node_limit).alias("n_all"), F.ceil(F.sum("comes") / settings.node_limit).alias("n_comers"))
+    sized = whole.join(counts, "target")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def block(n):
+        return F.pmod(F.xxhash64("rep", F.lit(5)), F.col(n))
+
+    columns = ("target", "i", "j", "asks", "rep", "label")
+    held = sized.withColumn("i", block("n_all")).withColumn("j", every("n_comers")).withColumn("asks", F.lit(0)).select(*columns)
+    asking = sized.where("comes = 1").withColumn("j", block("n_comers")).withColumn("i", every("n_all")).withColumn("asks", F.lit(1)).select(*columns)
+    wanted = held.unionByName(asking).withColumnRenamed("rep", "doc_id")
+
+    def run(batches):
+        key, held_, roots = None, [], {}
+
+        def root(x):
+            while roots.get(x, x) != x:
+                x = roots[x]
+            return x
+
+        matrix = None
         for batch in batches:
-            if len(batch):
-                keep = (_matrix(batch, "tu", np.uint32) == _matrix(batch, "tv", np.uint32)).sum(axis=1) >= settings.token_match
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+            us, vs = [], []
+            columns_ = [batch.column(c).to_pylist() for c in range(6)]
+            for target, i, j, asks, rep, label, data in zip(*columns_, text.texts_of(batch), strict=True):
+                if key != (target, i, j):
+                    key, held_, roots, matrix = (target, i, j), [], {}, None
+                found = shingles(data, settings.words)
+                if not asks:
+                    held_.append((rep, label, found, signature(found)))
+                    continue
+                if matrix is None:
+                    matrix = np.stack([h[3] for h in held_]) if held_ else np.zeros((0, TOKENS), np.uint32)
+                alike = (matrix == signature(found)).sum(axis=1)
+                for k in np.argsort(-alike, kind="stable"):
+                    if alike[k] < settings.token_match:
+                        break
+                    other, their, theirs, _ = held_[k]
+                    if other != rep and root(their) != root(label) and _linked(found, theirs, settings.percent):
+                        roots[root(their)] = root(label)
+                        us.append(min(rep, other))
+                        vs.append(max(rep, other))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return cut_lineage(
+        wanted.join(needed_texts(docs, met_.select(F.col("x").alias("doc_id")).unionByName(whole.select(F.col("rep").alias("doc_id")))), "doc_id")
+        .select("target", "i", "j", "asks", "doc_id", "label", "text")
+        .repartition("target", "i", "j").sortWithinPartitions("target", "i", "j", "asks").mapInArrow(run, "u long, v long"))
+
 
-    good = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(like, "u long, v long")
-    #: Members of one leader that meet its text in one group; larger stars are dealt into several.
-    good = cut_lineage(good.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64))))
-    wanted = good.select(F.col("v").alias("doc_id"), "u", "part", F.lit(1).alias("role")).unionByName(
-        good.select(F.col("u").alias("doc_id"), "u", "part", F.lit(0).alias("role")).distinct())
+def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs that are linked, decided on full sets. A star meets its leader's text in one group; large ones in several."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
+    wanted = cut_lineage(dealt.select(F.col("v").alias("doc_id"), "u", "part", F.lit(1).alias("role")).unionByName(
+        dealt.select(F.col("u").alias("doc_id"), "u", "part", F.lit(0).alias("role")).distinct()))
 
     def check(batches):
         leader, group = None, None
         for batch in batches:
             us, vs = [], []
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for (u, part, role, v), data in zip(keys, text.texts_of(batch), strict=True):
                 found = shingles(data, settings.words)
                 if role == 0:
                     leader, group = found, (u, part)
-                    continue
-                assert group == (u, part), "a member came before its leader"
-                shared = len(leader) + len(found) - len(np.union1d(leader, found))
-                if 100 * shared >= settings.percent * (len(leader) + len(found) - shared):
+                elif group == (u, part) and _linked(leader, found, settings.percent):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return cut_lineage(
-        wanted.join(rows.texts(docs), "doc_id").select("u", "part", "role", F.col("doc_id"), "text")
+        wanted.join(needed_texts(docs, wanted), "doc_id").select("u", "part", "role", F.col("doc_id"), "text")
         .repartition("u", "part").sortWithinPartitions("u", "part", "role").mapInArrow(check, "u long, v long"))
 
 
@@ -352,24 +436,28 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     sets = cut_lineage(sets_of(docs, settings))
     classes = cut_lineage(
         sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")))
-    named = classes.where("rep is not null")
-    nodes = cut_lineage(tree_nodes(named, settings))
-    pairs = cut_lineage(stars(nodes, settings))
-    tested, links = pairs, confirmed(pairs, named, docs, settings)
-    for turn in integers():
-        labels = cut_lineage(components(links))
-        fresh = cut_lineage(across(nodes, labels, settings, (4, 64)[turn] if turn < 2 else None).join(tested, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            if turn >= 2:
-                break
-            continue
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(confirmed(fresh, named, docs, settings))
+    nodes = cut_lineage(tree_nodes(classes.where("rep is not null"), settings))
+    links = confirmed(stars(nodes, settings), docs, settings)
+    labels = cut_lineage(components(links))
+    found = cut_lineage(meetings(nodes, labels, settings))
+    if not found.isEmpty():
+        labels = components(links.unionByName(met(found, labels, docs, settings)))
     joined = sets.join(classes.select("name", "rep"), "name", "left").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def representatives(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of `docs`, all columns as they are, of which one of each group is left: that of the smallest id.
+
+    Of rows that share the id one stays. Rows without words or without an id all stay.
+    """
+    chosen = near_duplicates(docs, settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    here = F.col("doc_id").cast("long")
+    return (docs.where(here.isNotNull()).join(chosen, here == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+            .unionByName(docs.where(here.isNull())))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registered query: two-word shingles of lower-cased whole texts, links at 0.8."""
     return near_duplicates(rows.documents(spark, sf_dir), Settings(words=2))
