@@ -238,5 +238,5 @@ NULL_WORDS = ("", "-", "NA", "N/A")
 SEGMENTS = ("CM", "CASH", "CAPITAL MARKET")
 EQUITY_SERIES = ("EQ",)
 INACTIVE_STATUSES = ("SUSPENDED", "DELISTED", "INACTIVE")
-MAX_VOLUME = 2_147_483_647
+MAX_VOLUME = 2**63 - 1
 SAMPLE_ISSUES = 200

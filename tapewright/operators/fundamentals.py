@@ -197,8 +197,10 @@ def fundamental_metrics(filings: DataFrame, facts: DataFrame, closes: DataFrame)
 # --- U13: peers ----------------------------------------------------------------------------------------------------
 def peers(classified: DataFrame, series) -> DataFrame:
     """Others in the same sector, industry and basic industry as one series: a filter against one row."""
-    own = classified.where(F.col("series") == series).select(*[F.col(c).alias(f"_{c}") for c in LEVELS])
-    rows = classified.where(F.col("series") != series).crossJoin(own.limit(1))  # one row on the right
+    newest = ["snapshot_date"] if "snapshot_date" in classified.columns else []
+    last = F.max(F.struct(*newest, *LEVELS)).alias("_own")
+    own = classified.where(F.col("series") == series).agg(last).select(*[F.col(f"_own.{c}").alias(f"_{c}") for c in LEVELS])
+    rows = classified.where(F.col("series") != series).crossJoin(own)  # an aggregate: one row on the right
     levels = F.array_compact(F.array(*[F.when(F.col(c) == F.col(f"_{c}"), F.lit(c)) for c in LEVELS]))
     return rows.select(F.explode(levels).alias("level"), "series")
 

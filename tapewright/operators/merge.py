@@ -36,36 +36,69 @@ def _tag(df: DataFrame, *cases: tuple[Column, str, str | None]) -> DataFrame:
     return df.withColumns({"action": action, "code": code})
 
 
+def _in_batch(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Mark rows of a batch that share a key: `_later` is true for all but the first, `_as_first` where the values agree.
+
+    Rows follow artifact and row number where the batch has them, else their values. A key has few rows in a batch.
+    """
+    order = [c for c in ("artifact_no", "artifact_id", "row_no") if c in rows.columns] + list(fields)
+    over = Window.partitionBy(*keys).orderBy(*order)
+    first = F.first(F.struct(*fields)).over(over)
+    return rows.withColumns({"_later": F.row_number().over(over) > 1, "_as_first": first.eqNullSafe(F.struct(*fields))})
+
+
 def _clean(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
+def _by_symbol(securities: DataFrame, *columns: str) -> DataFrame:
+    """One row per symbol, whatever the master repeats; `_n1` counts the securities that share it."""
+    return securities.groupBy("symbol").agg(
+        F.min("series").alias("_k1"), F.count_distinct("series").alias("_n1"), *[F.min(c).alias(f"_{c[0]}1") for c in columns])
+
+
+def _by_isin(securities: DataFrame) -> DataFrame:
+    return securities.where(F.col("isin").isNotNull()).groupBy("isin").agg(
+        F.min("series").alias("_k2"), F.count_distinct("series").alias("_n2"))
+
+
+def _with_isin(rows: DataFrame, by_isin: DataFrame) -> DataFrame:
+    """Left join on ISIN; rows without one get a key of their own, so they do not meet in one partition."""
+    spread = F.coalesce("isin", F.concat(F.lit("-"), F.col("symbol")))
+    return rows.withColumn("_isin", spread).join(by_isin.withColumnRenamed("isin", "_isin"), "_isin", "left")
+
+
 # --- I16 ----------------------------------------------------------------------------------------------------------
 def resolve_identity(rows: DataFrame, securities: DataFrame) -> DataFrame:
     """Add `key` where symbol and ISIN (if given) hit the same security of a compatible board, else why not."""
-    master = securities.select("symbol", F.col("series").alias("_k1"), F.col("board").alias("_b1"))
-    by_isin = securities.where(F.col("isin").isNotNull()).select("isin", F.col("series").alias("_k2"))
-    joined = rows.join(master, "symbol", "left").join(by_isin, "isin", "left")
+    master, by_isin = _by_symbol(securities, "board"), _by_isin(securities)
+    joined = _with_isin(rows.join(master, "symbol", "left"), by_isin)
     other = F.col("isin").isNotNull() & ~F.col("_k1").eqNullSafe(F.col("_k2"))
     board = F.col("_b1").isNotNull() & (F.col("_b1") != F.col("board"))
-    why = F.when(F.col("_k1").isNull(), "SECURITY_NOT_IN_MASTER").when(other | board, "AMBIGUOUS_SECURITY")
+    several = (F.coalesce("_n1", F.lit(1)) > 1) | (F.coalesce("_n2", F.lit(1)) > 1)
+    why = F.when(F.col("_k1").isNull(), "SECURITY_NOT_IN_MASTER").when(several | other | board, "AMBIGUOUS_SECURITY")
     out = joined.withColumns({"identity_issue": why, "key": F.when(why.isNull(), F.col("_k1"))})
     return _clean(out)
 
 
 # --- I17-I22 --------------------------------------------------------------------------------------------------------
 def merge_prices(incoming: DataFrame, stored: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Keyed by (series, session); a batch dated on a confirmed holiday conflicts as a whole."""
+    """Keyed by (series, session); a batch dated on a confirmed holiday conflicts as a whole.
+
+    Of rows of a batch with one key the first is compared with the tape and the others with it, so a key is inserted once.
+    """
     closed = calendar.where(~F.col("is_trading_day")).select("session", F.lit(True).alias("_closed")).distinct()
     old = _stored(stored.where(F.col("origin") == "OFFICIAL"), ["series", "session"], PRICE_FIELDS)
     other = stored.where(F.col("origin") != "OFFICIAL").select("series", "session", F.lit(True).alias("_other"))
-    rows = incoming.join(old, ["series", "session"], "left").join(other, ["series", "session"], "left").join(
+    batch = _in_batch(incoming, ["series", "session"], PRICE_FIELDS)
+    rows = batch.join(old, ["series", "session"], "left").join(other.distinct(), ["series", "session"], "left").join(
         closed, "session", "left")
     return _clean(_tag(
         rows, (F.col("_closed"), "CONFLICT", "CALENDAR_CONFLICT"),
         (F.col("_other"), "CONFLICT", "HISTORICAL_DATA_CONFLICT"),
         (F.col("_found") & _same(PRICE_FIELDS), "UNCHANGED", None),
-        (F.col("_found"), "CONFLICT", "HISTORICAL_DATA_CONFLICT")))
+        (F.col("_found"), "CONFLICT", "HISTORICAL_DATA_CONFLICT"), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
+        (F.col("_later"), "CONFLICT", "HISTORICAL_DATA_CONFLICT")))
 
 
 def confirmed_sessions(merged: DataFrame, calendar: DataFrame, exchange: str = "X") -> DataFrame:
@@ -77,26 +110,28 @@ def confirmed_sessions(merged: DataFrame, calendar: DataFrame, exchange: str = "
 
 
 def merge_securities(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    by_symbol = stored.select("symbol", F.col("series").alias("_k1"), F.col("board").alias("_b"),
-                              F.col("company_name").alias("_n"))
-    by_isin = stored.where(F.col("isin").isNotNull()).select("isin", F.col("series").alias("_k2"))
-    rows = incoming.join(by_symbol, "symbol", "left").join(by_isin, "isin", "left")
+    rows = _with_isin(incoming.join(_by_symbol(stored, "board", "company_name"), "symbol", "left"), _by_isin(stored))
+    rows = _in_batch(rows, ["symbol"], ("isin", "board", "company_name"))
+    several = (F.coalesce("_n1", F.lit(1)) > 1) | (F.coalesce("_n2", F.lit(1)) > 1)
     hit = F.col("_k1").isNotNull() | F.col("_k2").isNotNull()
     split = ~F.col("_k1").eqNullSafe(F.col("_k2"))
-    board = F.col("_b").isNotNull() & (F.col("_b") != F.col("board"))
+    board = F.col("_b1").isNotNull() & (F.col("_b1") != F.col("board"))
     return _clean(_tag(
-        rows, (hit & (split | board), "CONFLICT", "SECURITY_IDENTITY_CONFLICT"),
-        (hit & (F.col("_n") != F.col("company_name")), "UNCHANGED", "SECURITY_METADATA_DRIFT"),
-        (hit, "UNCHANGED", None)))
+        rows, (hit & (several | split | board), "CONFLICT", "SECURITY_IDENTITY_CONFLICT"),
+        (hit & (F.col("_c1") != F.col("company_name")), "UNCHANGED", "SECURITY_METADATA_DRIFT"),
+        (hit, "UNCHANGED", None), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
+        (F.col("_later"), "CONFLICT", "SECURITY_IDENTITY_CONFLICT")))
 
 
 def merge_index_prices(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """As prices, with hashes of the stored and the incoming values on a conflict."""
     fields = ("open", "high", "low", "close")
-    rows = incoming.join(_stored(stored, ["index_id", "session"], fields), ["index_id", "session"], "left")
+    batch = _in_batch(incoming, ["index_id", "session"], fields)
+    rows = batch.join(_stored(stored, ["index_id", "session"], fields), ["index_id", "session"], "left")
     text = lambda prefix: F.sha2(F.concat_ws("|", *[F.col(prefix + f).cast("string") for f in fields]), 256)
     tagged = _tag(rows, (F.col("_found") & _same(fields), "UNCHANGED", None),
-                  (F.col("_found"), "CONFLICT", "INDEX_PRICE_CONFLICT"))
+                  (F.col("_found"), "CONFLICT", "INDEX_PRICE_CONFLICT"), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
+                  (F.col("_later"), "CONFLICT", "INDEX_PRICE_CONFLICT"))
     clash = F.col("action") == "CONFLICT"
     return _clean(tagged.withColumns({"existing_hash": F.when(clash, text("_s_")), "incoming_hash": F.when(clash, text(""))}))
 
@@ -106,20 +141,20 @@ def merge_actions(incoming: DataFrame, stored: DataFrame, securities: DataFrame)
     rows = incoming.where(F.col("published_at").isNotNull())
     known = securities.select("series", F.lit(True).alias("_known"))
     on = ["series", "type", "ex_date"]
-    hits = stored.select(*on, F.struct("num", "den", F.col("available_at").alias("at")).alias("s"))
-    grouped = rows.join(known, "series", "left").join(hits, on, "left").groupBy(*incoming.columns, "_known").agg(
-        F.count("s").alias("_hits"), F.max(
-            (F.col("s.num") == F.col("num")) & (F.col("s.den") == F.col("den")) & (F.col("s.at") == F.col("published_at"))
-        ).alias("_identical"))
+    hits = stored.groupBy(*on).agg(F.count(F.lit(1)).alias("_hits"))
+    equal = stored.select(*on, "num", "den", F.col("available_at").alias("published_at"), F.lit(True).alias("_identical")).distinct()
+    rows = _in_batch(rows, on, ("num", "den", "published_at")).join(known.distinct(), "series", "left").join(hits, on, "left").join(
+        equal, [*on, "num", "den", "published_at"], "left")
     return _clean(_tag(
-        grouped, (F.col("_known").isNull(), "REJECT", "AMBIGUOUS_SECURITY"), (F.col("_identical"), "UNCHANGED", None),
-        (F.col("_hits") > 0, "CONFLICT", "CORPORATE_ACTION_REVISION_UNRESOLVED")))
+        rows, (F.col("_known").isNull(), "REJECT", "AMBIGUOUS_SECURITY"), (F.col("_identical"), "UNCHANGED", None),
+        (F.col("_hits") > 0, "CONFLICT", "CORPORATE_ACTION_REVISION_UNRESOLVED"), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
+        (F.col("_later"), "CONFLICT", "CORPORATE_ACTION_REVISION_UNRESOLVED")))
 
 
 def merge_holidays(incoming: DataFrame, calendar: DataFrame, exchange: str = "X") -> DataFrame:
     known = calendar.where(F.col("exchange") == exchange).select("session", F.col("is_trading_day").alias("_open"))
-    rows = incoming.join(known, "session", "left")
-    return _clean(_tag(rows, (F.col("_open"), "CONFLICT", "CALENDAR_CONFLICT"), (~F.col("_open"), "UNCHANGED", None)))
+    rows = _in_batch(incoming, ["session"], ("session",)).join(known.groupBy("session").agg(F.max("_open").alias("_open")), "session", "left")
+    return _clean(_tag(rows, (F.col("_open"), "CONFLICT", "CALENDAR_CONFLICT"), (~F.col("_open"), "UNCHANGED", None), (F.col("_later"), "UNCHANGED", None)))
 
 
 # --- I19 -----------------------------------------------------------------------------------------------------------

@@ -86,9 +86,9 @@ def mark_positions(trades: DataFrame, bars: DataFrame, calendar: DataFrame, end)
     rows = held.join(tape, ["series", "session"], "left")
     fresh = (F.col("_close").cast("decimal(14,0)") * F.lit("0.0001").cast("decimal(5,4)") * quantity).cast(
         "decimal(24,6)")
-    w = Window.partitionBy("series", "signal").orderBy("session")  # one holding period
+    w = Window.partitionBy(P, "series", "signal").orderBy("session")  # one holding period of one portfolio
     carried = F.last(fresh, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    at_entry = (F.col("slipped_entry") * F.col("quantity0").cast("decimal(12,0)")).cast("decimal(24,6)")
+    at_entry = (F.col("slipped_entry") * F.col("quantity0").cast("decimal(19,0)")).cast("decimal(24,6)")
     return rows.select(
         P, "series", "signal", "session", F.coalesce(carried, at_entry).alias("value"),
         F.col("_close").isNull().alias("stale"))

@@ -22,5 +22,7 @@ def scan_universe(
     return market_scan(members_as_of(memberships, observation_date), rows, filters, observation_date)
 
 
-def ranked_matches(scanned: DataFrame, by: str, limit: int) -> DataFrame:
-    return scanned.where(F.col("status") == "MATCHED").orderBy(F.col(by).desc(), "series").limit(limit)
+def ranked_matches(scanned: DataFrame, by: str, limit: int | None = None) -> DataFrame:
+    """All matches in order; a limit is the page a caller asks for."""
+    ranked = scanned.where(F.col("status") == "MATCHED").orderBy(F.col(by).desc(), "series")
+    return ranked if limit is None else ranked.limit(limit)

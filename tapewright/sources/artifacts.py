@@ -5,16 +5,19 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
-from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions.fixed_values import HEADERS, OPTIONAL_HEADERS, QUARTER_DAYS
 from tapewright.functions.parsing import fold_header
 
 
+#: Lines of an archive that are handed on at once.
+LINES_AT_ONCE = 50_000
+
+
 class SchemaDrift(ValueError):
     """An artifact's columns do not fit its kind; the whole artifact fails."""
 
@@ -64,26 +67,55 @@ def scan_aliased_csv(spark: SparkSession, path, kind: str) -> DataFrame:
     return resolve_headers(placed, kind)
 
 
+#: A comma with an even number of quotes after it.
+OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _lines_of_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inflate the one CSV of each archive, a bounded part at a time, into numbered lines."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
+                if len(members) != 1:
+                    raise SchemaDrift("archive must hold exactly one CSV")
+                number, held = 0, []
+                for line in io.TextIOWrapper(archive.open(members[0]), "utf-8-sig"):
+                    number += 1
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == LINES_AT_ONCE:
+                        yield _numbered(path, number, held)
+                        held = []
+                if held:
+                    yield _numbered(path, number, held)
+
+
+def _numbered(path: str, last: int, lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "artifact_id": [path] * len(lines), "row_no": list(range(last - len(lines) + 1, last + 1)), "line": lines})
+
+
 def scan_zipped_csv(spark: SparkSession, path, kind: str) -> DataFrame:
-    """One CSV per zip archive; an archive is the unit of work because it cannot be split."""
-    names = list(HEADERS[kind])
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path_, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                    if len(members) != 1:
-                        raise SchemaDrift("archive must hold exactly one CSV")
-                    table = pd.read_csv(archive.open(members[0]), dtype=str, keep_default_na=False)
-                hits = header_map(table.columns, kind)
-                out = pd.DataFrame({n: table[hits[n]].str.strip() if n in hits else "" for n in names})
-                out.insert(0, "row_no", range(2, len(out) + 2))
-                out.insert(0, "artifact_id", path_)
-                yield out
-
-    schema = "artifact_id string, row_no bigint, " + ", ".join(f"`{n}` string" for n in names)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, schema)
+    """One CSV per zip archive, whatever the order of its columns; `row_no` is the line in the file, the header being 1.
+
+    Python only inflates. Lines are split by Spark, and every archive's header is matched by alias on its own.
+    """
+    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(
+        _lines_of_archives, "artifact_id string, row_no bigint, line string").where("trim(line) <> ''")
+    quoted = lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x)
+    cells = lines.select("artifact_id", "row_no", F.transform(F.split("line", OUTSIDE_QUOTES, -1), lambda x: quoted(F.trim(x))).alias("cells"))
+    folded = F.transform("cells", lambda h: F.regexp_replace(F.upper(F.coalesce(h, F.lit(""))), "[^A-Z0-9]", ""))
+    named = cells.where("row_no = 1").select("artifact_id", folded.alias("_names"))
+    given = F.filter("_names", lambda h: h != "")
+    places = {n: F.coalesce(*[F.nullif(F.array_position("_names", fold_header(a)), F.lit(0)) for a in aliases]) for n, aliases in HEADERS[kind].items()}
+    missing = [n for n in HEADERS[kind] if n not in OPTIONAL_HEADERS[kind]]
+    drift = F.when(F.size(F.array_distinct(given)) < F.size(given), F.raise_error(F.lit("header contains duplicate column names")).cast("bigint"))
+    for n in missing:
+        drift = drift.when(places[n].isNull(), F.raise_error(F.lit(f"missing required columns: {n}")).cast("bigint"))
+    headers = named.select("artifact_id", F.coalesce(drift, F.lit(0)).alias("_ok"), *[places[n].cast("int").alias(f"_{n}") for n in HEADERS[kind]])
+    rows = cells.where("row_no > 1").join(headers, "artifact_id").where("_ok = 0")
+    return rows.select("artifact_id", "row_no", *[
+        F.coalesce(F.trim(F.try_element_at("cells", F.col(f"_{n}"))), F.lit("")).alias(n) for n in HEADERS[kind]])
 
 
 # --- I4: JSON -----------------------------------------------------------------------------------------------------------
@@ -122,103 +154,106 @@ def link_listing_to_files(listing: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("link", link).drop("_n", "_has")
 
 
-XBRLI = "{http://www.xbrl.org/2003/instance}"
-XBRLDI = "{http://xbrl.org/2006/xbrldi}"
-FACT_SCHEMA = (
-    "file_name string, error string, isin string, concept string, value string, unit string, context string, "
-    "nature string, fact_kind string, fact_start date, fact_end date, fiscal_year int, fiscal_quarter int"
-)
-
-
-def _days(start, end) -> int:
-    return (end - start).days + 1
-
-
-def _instance_facts(content: bytes, symbol: str, scope: str, period_end) -> list[dict]:
-    """Numeric facts of one instance document; raises ValueError with the reason it is refused."""
-    if b"<!doctype" in content.lower() or b"<!entity" in content.lower():
-        raise ValueError("DTD or entity declarations are not permitted")
-    try:
-        root = ElementTree.fromstring(content)
-    except ElementTree.ParseError as exc:
-        raise ValueError("malformed XML") from exc
-    if root.tag != XBRLI + "xbrl":
-        raise ValueError("not an instance document")
-    contexts = {}
-    for node in root.iter(XBRLI + "context"):
-        period, name = node.find(XBRLI + "period"), node.get("id", "")
-        instant = None if period is None else period.findtext(XBRLI + "instant")
-        end = instant or (None if period is None else period.findtext(XBRLI + "endDate"))
-        start = None if period is None or instant else period.findtext(XBRLI + "startDate")
-        if not name or name in contexts or end is None or (not instant and start is None):
-            raise ValueError("context is incomplete or repeated")
-        try:
-            contexts[name] = (start and pd.Timestamp(start).date(), pd.Timestamp(end).date(),
-                              any(True for _ in node.iter(XBRLDI + "explicitMember")))
-        except ValueError as exc:
-            raise ValueError(f"context {name} has an invalid period") from exc
-    main = contexts.get("OneD")
-    if (main is None or main[0] is None or main[2] or main[1] != period_end
-            or not QUARTER_DAYS[0] <= _days(main[0], main[1]) <= QUARTER_DAYS[1]):
-        raise ValueError("no verified OneD quarterly context")
-    chosen = {k: c for k, c in contexts.items() if k in ("OneD", "FourD", "OneI") and not c[2] and c[1] == period_end}
-    facts = [(n.tag.rpartition("}")[2], n) for n in root if n.get("contextRef") in chosen]
-    told = {name: (n.text or "").strip().upper() for name, n in facts}
-    if told.get("Symbol") != symbol:
-        raise ValueError("symbol does not match the listing")
-    isin = told.get("ISIN", "")
-    if len(isin) != 12 or not isin.isalnum():
-        raise ValueError("ISIN is malformed")
-    if told.get("NatureOfReportStandaloneConsolidated") != scope:
-        raise ValueError("scope does not match the listing")
-    quarter = {6: 1, 9: 2, 12: 3, 3: 4}.get(period_end.month)
-    if quarter is None:
-        raise ValueError("period is no fiscal quarter end")
-    out, seen = [], {}
-    for name, node in facts:
-        if node.get("unitRef") is None:
-            continue
-        text = (node.text or "").strip().replace(",", "")
-        try:
-            value = float(text)
-        except ValueError as exc:
-            raise ValueError(f"numeric fact {name} is malformed") from exc
-        start, end, _ = chosen[node.get("contextRef")]
-        key = (name.casefold(), start or end, end)
-        if key in seen:
-            if seen[key] != value:
-                raise ValueError(f"conflicting duplicate fact {name}")
-            continue
-        seen[key] = value
-        span = None if start is None else _days(start, end)
-        nature = ("INSTANT" if span is None else "QUARTERLY" if QUARTER_DAYS[0] <= span <= QUARTER_DAYS[1]
-                  else "ANNUAL" if 340 <= span <= 380 else "YTD")
-        out.append({
-            "isin": isin, "concept": name, "value": text, "unit": node.get("unitRef"), "context": node.get("contextRef"),
-            "nature": nature, "fact_kind": "INSTANT" if start is None else "DURATION", "fact_start": start or end,
-            "fact_end": end, "fiscal_year": period_end.year + (0 if quarter == 4 else 1), "fiscal_quarter": quarter})
-    if not out:
-        raise ValueError("no eligible numeric facts")
-    return out
+INSTANCE_NAMESPACE = "http://www.xbrl.org/2003/instance"
+CONTEXT_NAMES = ("OneD", "FourD", "OneI")
+#: One element with its attributes and text; prefixes are whatever the file chose.
+CONTEXT_PATTERN = r'(?s)<(?:[\w.-]+:)?context\s[^>]*?id="([^"]*)"[^>]*>(.*?)</(?:[\w.-]+:)?context>'
+FACT_PATTERN = r'<(?:[\w.-]+:)?([\w.-]+)(\s[^<>]*?contextRef="[^"]*"[^<>]*)>([^<]*)</'
+ROOT_PATTERN = r"(?s)^\s*(?:<\?xml[^>]*\?>)?\s*(?:<!--.*?-->\s*)*<((?:[\w.-]+:)?xbrl)[\s>].*</\1>\s*$"
+FACT = "decimal(38,8)"
+
+
+def _attribute(text: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(text, rf'\b{name}="([^"]*)"', 1), F.lit(""))
+
+
+def _element_date(body: Column, name: str) -> Column:
+    return F.try_to_date(F.nullif(F.regexp_extract(body, rf"<(?:[\w.-]+:)?{name}>\s*([^<\s]*)\s*<", 1), F.lit("")), "yyyy-MM-dd")
+
+
+def _contexts(text: Column) -> Column:
+    """Contexts of a document: name, start and end (an instant has no start), and whether they carry a dimension."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(CONTEXT_PATTERN), F.lit(1)).alias("name"),
+                         F.regexp_extract_all(text, F.lit(CONTEXT_PATTERN), F.lit(2)).alias("body"))
+    return F.transform(pairs, lambda c: F.struct(
+        c["name"].alias("name"), _element_date(c["body"], "startDate").alias("start"),
+        F.coalesce(_element_date(c["body"], "instant"), _element_date(c["body"], "endDate")).alias("end"),
+        _element_date(c["body"], "instant").isNotNull().alias("at_once"),
+        (c["body"].contains("explicitMember") | c["body"].contains("typedMember")).alias("sliced")))
+
+
+def _told(facts: str, name: str) -> Column:
+    """What a document says of itself under a name, in capitals."""
+    hit = F.filter(facts, lambda f: f["concept"] == name)
+    return F.upper(F.trim(F.try_element_at(hit, F.lit(-1))["text"]))
 
 
 def xbrl_facts(linked_files: DataFrame) -> DataFrame:
-    """Facts of linked files (file_name, content, symbol, scope, period_end); a refused file gives one error row."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in FACT_SCHEMA.split(", ")]
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                try:
-                    rows += [{"file_name": r.file_name, **f} for f in _instance_facts(
-                        bytes(r.content), r.symbol, r.scope, r.period_end)]
-                except ValueError as exc:
-                    rows.append({"file_name": r.file_name, "error": str(exc)})
-            made = pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
-            yield made
-
-    return linked_files.select("file_name", "content", "symbol", "scope", "period_end").mapInPandas(parse, FACT_SCHEMA)
+    """Numeric facts of linked files (file_name, content, symbol, scope, period_end); a refused file gives one error row.
+
+    A filing is one row, read and checked with column expressions, without a shuffle.
+    Amounts are compared as decimals: an equal repetition is dropped, a different one refuses the file. What is no finite
+    decimal (NaN and infinities included) is malformed.
+    """
+    text = F.decode("content", "UTF-8")
+    read = linked_files.select("file_name", "symbol", "scope", "period_end", text.alias("_text")).withColumns({
+        "_contexts": _contexts(F.col("_text")),
+        "_all": F.transform(F.arrays_zip(*[
+            F.regexp_extract_all("_text", F.lit(FACT_PATTERN), F.lit(i)).alias(n) for i, n in ((1, "concept"), (2, "with"), (3, "text"))]),
+            lambda f: F.struct(f["concept"].alias("concept"), _attribute(f["with"], "contextRef").alias("context"),
+                               _attribute(f["with"], "unitRef").alias("unit"), F.trim(f["text"]).alias("text")))})
+    days = lambda c: F.date_diff(c["end"], c["start"]) + 1
+    quarter_long = lambda c: days(c).between(*QUARTER_DAYS)
+    usable = F.filter("_contexts", lambda c: c["name"].isin(*CONTEXT_NAMES) & ~c["sliced"] & (c["end"] == F.col("period_end")))
+    read = read.withColumns({"_usable": usable, "_month": F.month("period_end")})
+    read = read.withColumn("_own", F.transform(
+        F.filter("_all", lambda f: F.exists("_usable", lambda c: c["name"] == f["context"])),
+        lambda f: F.struct("file_name", f.alias("f"), F.element_at(F.filter("_usable", lambda c: c["name"] == f["context"]), 1).alias("c"))))
+    read = read.withColumn("_told", F.transform("_own", lambda o: o["f"]))
+    numeric = F.filter("_own", lambda o: o["f"]["unit"].isNotNull())
+    amount = lambda o: F.regexp_replace(o["f"]["text"], ",", "").try_cast(FACT)
+    main = F.exists("_usable", lambda c: (c["name"] == "OneD") & c["start"].isNotNull() & ~c["at_once"] & quarter_long(c))
+    isin = F.coalesce(_told("_told", "ISIN"), F.lit(""))
+    lower = F.lower("_text")
+    refused = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(why)) for bad, why in (
+        (lower.contains("<!doctype") | lower.contains("<!entity"), "DTD or entity declarations are not permitted"),
+        (~F.col("_text").rlike(ROOT_PATTERN) | ~F.col("_text").contains(INSTANCE_NAMESPACE), "not a complete instance document"),
+        (F.exists("_contexts", lambda c: (c["name"] == "") | c["end"].isNull() | (c["start"].isNull() & ~c["at_once"]))
+         | (F.size(F.array_distinct(F.transform("_contexts", lambda c: c["name"]))) < F.size("_contexts")), "context is incomplete or repeated"),
+        (~main, "no verified OneD quarterly context"),
+        (F.coalesce(_told("_told", "Symbol"), F.lit("")) != F.col("symbol"), "symbol does not match the listing"),
+        (~isin.rlike("^[A-Z0-9]{12}$"), "ISIN is malformed"),
+        (F.coalesce(_told("_told", "NatureOfReportStandaloneConsolidated"), F.lit("")) != F.col("scope"), "scope does not match the listing"),
+        (F.col("_month") % 3 != 0, "period is no fiscal quarter end"),
+        (F.exists(numeric, lambda o: amount(o).isNull()), "numeric fact is malformed"),
+        (F.size(numeric) == 0, "no eligible numeric facts"))])
+    read = read.select("file_name", "period_end", "_month", isin.alias("isin"), refused.alias("error"), numeric.alias("_numeric"))
+    # Equal facts stand together once sorted, the first in the file first.
+    ordered = F.sort_array(F.transform("_numeric", lambda o, i: F.struct(
+        F.struct(F.lower(o["f"]["concept"]), F.when(o["c"]["at_once"], o["c"]["end"]).otherwise(o["c"]["start"]), o["c"]["end"]).alias("key"), i.alias("at"),
+        amount(o).alias("amount"), o["f"].alias("f"), F.regexp_replace(o["f"]["text"], ",", "").alias("value"), o["c"].alias("c"))))
+    read = read.withColumn("_ordered", ordered)
+
+    def repeats(f, i):
+        return (i > 0) & (F.get("_ordered", i - 1)["key"] == f["key"])
+
+    clash = F.filter("_ordered", lambda f, i: repeats(f, i) & (F.get("_ordered", i - 1)["amount"] != f["amount"]))
+    read = read.select(
+        "file_name", "period_end", "_month", "isin", F.coalesce("error", F.when(F.size(clash) > 0, "conflicting duplicate fact")).alias("error"),
+        F.filter("_ordered", lambda f, i: ~repeats(f, i)).alias("_facts"))
+    # A refused file explodes to one row without a fact.
+    rows = read.select("file_name", "error", "period_end", "_month", "isin", F.explode_outer(F.when(F.col("error").isNull(), F.col("_facts"))).alias("o"))
+    length = days(F.col("o.c"))
+    span = F.when(F.col("o.c.at_once"), "INSTANT").when(length.between(*QUARTER_DAYS), "QUARTERLY").when(length.between(340, 380), "ANNUAL").otherwise("YTD")
+    last_quarter = F.col("_month") == 3
+    there = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.select(
+        "file_name", "error", there(F.col("isin")).alias("isin"), F.col("o.f.concept").alias("concept"), F.col("o.value").alias("value"),
+        F.col("o.f.unit").alias("unit"), F.col("o.f.context").alias("context"), there(span).alias("nature"),
+        there(F.when(F.col("o.c.at_once"), "INSTANT").otherwise("DURATION")).alias("fact_kind"),
+        F.when(F.col("o.c.at_once"), F.col("o.c.end")).otherwise(F.col("o.c.start")).alias("fact_start"), F.col("o.c.end").alias("fact_end"),
+        there(F.year("period_end") + F.when(last_quarter, 0).otherwise(1)).alias("fiscal_year"),
+        there(F.when(last_quarter, 4).otherwise((F.col("_month") / 3 - 1).cast("int"))).alias("fiscal_quarter"))
 
 
 def scan_files(spark: SparkSession, path) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def windowed_bars(ticks: DataFrame, window: str = "1 day", late: str | None = "2 hours") -> DataFrame:
+def windowed_bars(ticks: DataFrame, window: str = "1 day", late: str | None = None) -> DataFrame:
     """`ticks` has series, ts, tick_id, price, quantity. Open and close follow (ts, tick_id), so late but accepted
     ticks land in order. Works on a stream (append after the watermark) and on a batch alike.
+
+    A stream has to say how late a tick may be; what comes later is counted by the query itself, in `lastProgress`
+    under `stateOperators[].numRowsDroppedByWatermark`. A batch drops nothing.
     """
+    if ticks.isStreaming and not late:
+        raise ValueError("a stream needs a bound for late ticks")
     rows = ticks.withWatermark("ts", late) if late and ticks.isStreaming else ticks
     place: Column = F.struct("ts", "tick_id")
     return rows.groupBy("series", F.window("ts", window).alias("w")).agg(

@@ -64,12 +64,13 @@ def instance(symbol="ABC", value="5", twice=None):
 
 
 def test_xbrl(spark):
-    docs = {"ok": instance(), "same": instance(twice="5.0"), "clash": instance(twice="6"), "who": instance("ZZZ"), "dtd": "<!DOCTYPE x>" + instance(), "cut": "<xbrl"}
+    docs = {"ok": instance(), "same": instance(twice="5.0"), "clash": instance(twice="6"), "who": instance("ZZZ"), "dtd": "<!DOCTYPE x>" + instance(), "cut": "<xbrl", "nan": instance(value="NaN"),
+            "long": instance(value="1234567890123456789", twice="1234567890123456788"), "other": instance().replace("2003/instance", "2003/else")}
     df = spark.createDataFrame([(n, bytearray(t.encode()), "ABC", "CONSOLIDATED", date(2024, 12, 31)) for n, t in docs.items()],
                                "file_name string, content binary, symbol string, scope string, period_end date")
     out = artifacts.xbrl_facts(df).collect()
     errors = {r.file_name for r in out if r.error}
-    assert errors == {"clash", "who", "dtd", "cut"}
+    assert errors == {"clash", "who", "dtd", "cut", "nan", "long", "other"}
     ok = {r.nature: r for r in out if r.file_name == "ok"}
     assert set(ok) == {"QUARTERLY", "YTD"} and (ok["QUARTERLY"].fiscal_year, ok["QUARTERLY"].fiscal_quarter) == (2025, 3)
     assert sum(r.file_name == "same" for r in out) == 2
@@ -79,7 +80,7 @@ TAPE = ("series bigint, session date, open bigint, high bigint, low bigint, clos
 
 
 def test_folder_stream_is_idempotent_and_never_overwrites(spark, tmp_path):
-    tape, folder, state = (str(tmp_path / n) for n in ("tape", "in", "state"))
+    tape, folder, state, issues = (str(tmp_path / n) for n in ("tape", "in", "state", "issues"))
     row = lambda s, c: (s, date(2025, 1, 2), 1, 9, 1, c, 5, None)
     spark.createDataFrame([(*row(1, 4), "OFFICIAL")], TAPE + ", origin string").write.parquet(tape)
     batch = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], TAPE + ", row_no bigint")
@@ -87,11 +88,13 @@ def test_folder_stream_is_idempotent_and_never_overwrites(spark, tmp_path):
     schema = batch([row(1, 4)]).schema
 
     def run():
-        follow_folder(spark, folder, schema, tape, cal, state).awaitTermination(120)
+        follow_folder(spark, folder, schema, tape, cal, state, issues).awaitTermination(120)
         return {r.series: r.close for r in spark.read.parquet(tape).collect()}
 
     batch([row(1, 7), row(2, 5), row(2, 6)]).write.mode("append").parquet(folder)
     assert run() == {1: 4, 2: 5}
+    recorded = {(r.series, r.close, r.action) for r in spark.read.parquet(issues).collect()}
+    assert recorded == {(1, 7, "CONFLICT"), (2, 6, "CONFLICT")}
     batch([row(1, 7), row(2, 5), row(3, 8)]).write.mode("append").parquet(folder)
     assert run() == {1: 4, 2: 5, 3: 8} and run() == {1: 4, 2: 5, 3: 8}
     assert spark.read.parquet(tape).count() == 3
@@ -102,7 +105,7 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     ticks = spark.createDataFrame(rows, "series int, ts timestamp, tick_id int, price int, quantity int")
     path = str(tmp_path / "ticks")
     ticks.repartition(3).write.parquet(path)
-    stream = windowed_bars(spark.readStream.schema(ticks.schema).parquet(path))
+    stream = windowed_bars(spark.readStream.schema(ticks.schema).parquet(path), late="2 hours")
     q = stream.writeStream.format("memory").queryName("bars_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("bars_out").collect()}
