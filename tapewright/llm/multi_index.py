@@ -30,15 +30,15 @@ from tapewright.session import cut_lineage
 @dataclass(frozen=True)
 class Settings:
     nearest: int = 10
-    #: Most codes of a half; fewer for small tables (about `per_cell` entries in a cell on average).
+    #: Most codes of a half; for small tables a quarter of the entries.
     codes: int = 256
-    per_cell: int = 16
-    #: Entries a search gathers at least, as a share of all and as a number.
-    share: float = 0.12
+    #: Entries a search gathers at least, as a share of all and as a number. Vectors without much structure, as the given
+    #: ones, need as much as this for nine in ten true neighbours; clustered ones far less.
+    share: float = 0.3
     wanted: int = 1000
     #: Most vectors that the codebooks are learned from.
     sample: int = 20_000
-    rounds: int = 12
+    rounds: int = 8
     block: int = 2048
     seed: int = 5
 
@@ -94,7 +94,7 @@ def _by_length(vectors: list[np.ndarray]):
 def learn(entries: DataFrame, settings: Settings) -> Codebooks:
     """Codebooks from at most `sample` vectors, those with the smallest hashes."""
     count = entries.count()
-    codes = int(max(1, min(settings.codes, round((count / settings.per_cell) ** 0.5))))
+    codes = max(1, min(settings.codes, count // 4))
     got = entries.orderBy(F.xxhash64("vector"), "vector").limit(settings.sample).select("vector").toArrow()["vector"].to_pylist()
     halves = {}
     for size, _, points in _by_length([np.array(v) for v in got]):
@@ -159,26 +159,30 @@ def nearest(table: DataFrame, is_query: Column, settings: Settings | None = None
     def walk(batches):
         books_, sizes_, total_ = shared.value
         for batch in batches:
-            ask, size_, one, two, vectors = [], [], [], [], _vectors(batch.column(0))
+            ask, size_, one, two, vectors = [], [], [], [], _vectors(batch.column(0))  # two: the second codes of each first
             names = batch.column(1).to_pylist()
             for size, at, points in _by_length(vectors):
                 mine = {(a, b): n for (s, a, b), n in sizes_.items() if s == size}
                 wanted = max(settings.wanted, int(settings.share * total_.get(size, 0)))
                 first, second = books_.split(points)
                 for row, i in enumerate(at.tolist()):
+                    by_first: dict[int, list[int]] = {}
                     for a, b in visit(first[row], second[row], mine, wanted):
-                        ask.append(names[i])
-                        size_.append(size)
-                        one.append(a)
-                        two.append(b)
+                        by_first.setdefault(a, []).append(b)
+                    ask += [names[i]] * len(by_first)
+                    size_ += [size] * len(by_first)
+                    one += by_first
+                    two += by_first.values()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ask, pa.int64()), pa.array(size_, pa.int32()), pa.array(one, pa.int32()), pa.array(two, pa.int32())], names=["ask", "size", "c1", "c2"])
+                [pa.array(ask, pa.int64()), pa.array(size_, pa.int32()), pa.array(one, pa.int32()), pa.array(two, pa.list_(pa.int32()))],
+                names=["ask", "size", "c1", "seconds"])
 
     asking = cut_lineage(clean.where("asks").select("id", "vector"))
     searches = cut_lineage(asking.groupBy("vector").agg(F.min("id").alias("ask")))
-    probes = cut_lineage(searches.select("vector", "ask").mapInArrow(walk, "ask long, size int, c1 int, c2 int"))
-    cell = ["size", "c1", "c2"]
-    # Both sides of a cell in blocks: every block of entries meets every block of searches. The counts have a row a cell.
+    probes = cut_lineage(searches.select("vector", "ask").mapInArrow(walk, "ask long, size int, c1 int, seconds array<int>"))
+    # Searches meet entries under the first code and keep to their cells there. Both sides of a code are dealt into blocks,
+    # and every block of entries meets every block of searches. The counts have a row a code.
+    cell = ["size", "c1"]
     n_entries = index.groupBy(*cell).agg(F.ceil(F.count("*") / settings.block).alias("entry_blocks"))
     n_probes = probes.groupBy(*cell).agg(F.ceil(F.count("*") / settings.block).alias("probe_blocks"))
     blocks = n_entries.join(n_probes, cell)
@@ -187,22 +191,28 @@ def nearest(table: DataFrame, is_query: Column, settings: Settings | None = None
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     left = (index.join(blocks, cell).withColumn("b1", F.pmod(F.xxhash64("vector"), F.col("entry_blocks"))).withColumn("b2", every("probe_blocks"))
-            .select(*cell, "b1", "b2", "vector", "ids"))
+            .select(*cell, "b1", "b2", "vector", "ids", "c2"))
     right = (probes.join(blocks, cell).withColumn("b2", F.pmod(F.xxhash64("ask"), F.col("probe_blocks"))).withColumn("b1", every("entry_blocks"))
-             .join(searches, "ask").select(*cell, "b1", "b2", "ask", "vector"))
+             .join(searches, "ask").select(*cell, "b1", "b2", "ask", "vector", "seconds"))
 
     def rank(_, entries_: pa.Table, probes_: pa.Table) -> pa.Table:
         out = {"ask": [], "entry": [], "score": []}
         if len(entries_) and len(probes_):
             mine = np.stack(_vectors(entries_["vector"].combine_chunks())).astype(float)
             ids = np.array([i[0] for i in entries_["ids"].to_pylist()])
-            asks = probes_["ask"].to_numpy()
-            for ask, vector in zip(asks.tolist(), _vectors(probes_["vector"].combine_chunks()), strict=True):
-                distance = np.sqrt(((mine - vector.astype(float)) ** 2).sum(axis=1))
-                best = np.lexsort((ids, distance))[:k + 1]
+            second = entries_["c2"].to_numpy()
+            there = np.zeros(int(second.max()) + 1, bool)
+            asks, seconds = probes_["ask"].to_pylist(), _vectors(probes_["seconds"].combine_chunks())
+            for ask, vector, codes in zip(asks, _vectors(probes_["vector"].combine_chunks()), seconds, strict=True):
+                there[:] = False
+                there[codes[codes < len(there)]] = True
+                inside = np.flatnonzero(there[second])
+                distance = np.sqrt(((mine[inside] - vector.astype(float)) ** 2).sum(axis=1))
+                best = np.lexsort((ids[inside], distance))[:k + 1]
+                distance, best = distance[best], inside[best]
                 out["ask"] += [ask] * len(best)
                 out["entry"] += best.tolist()
-                out["score"] += distance[best].tolist()
+                out["score"] += distance.tolist()
         return pa.table({
             "ask": pa.array(out["ask"], pa.int64()), "score": pa.array(out["score"], pa.float64()),
             "ids": entries_["ids"].combine_chunks().take(pa.array(out["entry"], pa.int64())) if out["entry"] else pa.array([], pa.list_(pa.int64()))})
