@@ -122,17 +122,11 @@ def feature_frame(
         "TRUE_RANGE": true_range,
         "PRIOR_HIGH_20": F.when(F.col("n_obs") > 20, F.col("_high20")),
     })
-    if set(codes) & set(RECURSIVE_CODES):
-        frame = ordered_scan(
-            frame, keys, ["session"], ["close", "TRUE_RANGE"],
-            [T.StructField(c, T.DoubleType()) for c in ("EMA_20", "EMA_50", "RSI_14", "ATR_14")], _smoother,
-        )
     sma = {n: F.col(f"SMA_{n}") for n in (20, 50, 100, 200)}
     exprs = {
         **{code: change(close, F.col("_pc") if n == 1 else F.col(f"_lag{n}")) for code, n in RETURN_LAGS.items()},
         **{f"DISTANCE_SMA_{n}": change(close, sma[n]) for n in (20, 50, 200)},
         **{f"VOLUME_RATIO_{n}": ratio(volume, F.col(f"AVG_VOLUME_{n}")) for n in (20, 50)},
-        "ATR_PCT_14": ratio(F.col("ATR_14"), close),
         "TRUE_RANGE": as_double(F.col("TRUE_RANGE")),
         "GAP_PCT_1D": change(F.col("open"), F.col("_pc")),
         "INTRADAY_RETURN": change(close, F.col("open")),
@@ -144,10 +138,18 @@ def feature_frame(
         "PRIOR_HIGH_20": as_double(F.col("PRIOR_HIGH_20")),
         "BREAKOUT_PCT_20": change(close, F.col("PRIOR_HIGH_20")),
     }
-    return frame.select(
-        *keys, "session", "n_obs", *[F.col(f"_k_{c}").alias(c) for c in keep],
-        *[exprs.get(c, F.col(c)).alias(c) for c in codes],
-    )
+    smoothed = ("EMA_20", "EMA_50", "RSI_14", "ATR_14")
+    recursive = [c for c in codes if c in RECURSIVE_CODES]
+    place = [*keys, "session", "n_obs", *[f"_k_{c}" for c in keep]]
+    plain = [exprs.get(c, F.col(c)).alias(c) for c in codes if c not in recursive]
+    if recursive:
+        # Only what is asked for, the close and the true range leave the JVM; windows that nothing reads are pruned.
+        frame = ordered_scan(
+            frame.select(*place, "close", F.col("TRUE_RANGE").alias("_true_range"), *plain), keys, ["session"], ["close", "_true_range"],
+            [T.StructField(f"_{c}", T.DoubleType()) for c in smoothed], _smoother)
+        late = {**{c: F.col(f"_{c}") for c in smoothed}, "ATR_PCT_14": ratio(F.col("_ATR_14"), close)}
+        plain = [F.col(c) if c not in recursive else late[c].alias(c) for c in codes]
+    return frame.select(*[F.col(c).alias(c.removeprefix("_k_")) if c.startswith("_k_") else F.col(c) for c in place], *plain)
 
 
 def unavailable_reasons(features: DataFrame, codes: Sequence[str]) -> DataFrame:

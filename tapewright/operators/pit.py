@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.fixed_values import CLOSE_FALLBACK_SECONDS, MARKET_ZONE, OPEN_FALLBACK_SECONDS
 
-MAX_SESSIONS = 200_000
-
 
 # --- prices and newest rows -------------------------------------------------------------------------------
 def prices_range(bars: DataFrame, start=None, end=None) -> DataFrame:
@@ -76,24 +74,24 @@ def memberships_between(memberships: DataFrame, start, end) -> DataFrame:
     )
 
 
-def session_list(calendar: DataFrame, start=None, end=None) -> Column:
-    """Sorted sessions as one array value, read by a scalar subquery; its size is bounded by the calendar."""
+def session_list(calendar: DataFrame, start=None, end=None, exchange: str | None = None) -> Column:
+    """Sorted sessions of an exchange as one array value, read by a scalar subquery.
+
+    One entry a day: a thousand years are under a megabyte. Without `exchange` the calendar has to hold just one.
+    """
     days = prices_range(calendar.where("is_trading_day"), start, end)
-    listed = F.array_sort(F.collect_set("session"))
-    checked = F.when(F.size(listed) <= MAX_SESSIONS, listed).otherwise(
-        F.raise_error(F.lit("calendar exceeds the size bound")).cast("array<date>")
-    )
-    return days.agg(checked.alias("days")).scalar()
+    days = days if exchange is None else days.where(F.col("exchange") == exchange)
+    return days.agg(F.sort_array(F.collect_set("session")).alias("days")).scalar()
 
 
-def members_by_session(memberships: DataFrame, calendar: DataFrame, start=None, end=None) -> DataFrame:
+def members_by_session(memberships: DataFrame, calendar: DataFrame, start=None, end=None, exchange: str | None = None) -> DataFrame:
     """(index_id, series, session) for every session a membership covers; overlapping intervals count once."""
     active = F.filter(
         F.col("_days"),
         lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d <= F.col("valid_to"))),
     )
     return (
-        memberships.withColumn("_days", session_list(calendar, start, end))
+        memberships.withColumn("_days", session_list(calendar, start, end, exchange))
         .select("index_id", "series", F.explode(active).alias("session")).distinct()
     )
 

@@ -69,13 +69,13 @@ def ledger_check(ledger: DataFrame) -> DataFrame:
     ).withColumn("reconciles", F.col("net_total") == F.col("final_balance"))
 
 
-def mark_positions(trades: DataFrame, bars: DataFrame, calendar: DataFrame, end) -> DataFrame:
+def mark_positions(trades: DataFrame, bars: DataFrame, calendar: DataFrame, end, exchange: str | None = None) -> DataFrame:
     """Value of every open position at every close, entry day included and exit day not.
 
     A day without a close keeps the last value and counts as stale; a split changes price and quantity by inverse
     factors, so carrying the value carries the scaled mark. `quantity_on` is the share count of the day.
     """
-    days = session_list(calendar, None, end)
+    days = session_list(calendar, None, end, exchange)
     last = F.coalesce(F.col("exit_session"), F.date_add(F.lit(end).cast("date"), 1))
     held = trades.withColumn("_days", days).select(
         P, "series", "signal", "quantity0", "quantity", "slipped_entry", "entry_session", "split_session",
@@ -102,9 +102,10 @@ def mark_to_market(marks: DataFrame) -> DataFrame:
 
 def equity_snapshots(
     marks: DataFrame, events: DataFrame, trades: DataFrame, calendar: DataFrame, capital: str, start, end,
+    exchange: str | None = None,
 ) -> DataFrame:
     """One row per portfolio and session: cash, equity, return, drawdown, exposure, realised and unrealised."""
-    grid = events.select(P).distinct().withColumn("_d", session_list(calendar, start, end)).select(
+    grid = events.select(P).distinct().withColumn("_d", session_list(calendar, start, end, exchange)).select(
         P, F.explode("_d").alias("session"))
     flows = events.groupBy(P, "session").agg(F.sum("net").alias("net"))
     closed = trades.where(F.col("exit_session").isNotNull()).groupBy(P, F.col("exit_session").alias("session")).agg(

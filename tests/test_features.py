@@ -101,3 +101,10 @@ def test_later_rows_and_revisions_never_change_earlier_history(spark, cut):
         return {r["session"]: tuple(r[c] for c in codes) for r in out.where(F.col("session") <= sessions[cut]).collect()}
 
     assert run(cut) == run(199)
+
+
+def test_recursive_codes_ship_and_compute_only_what_is_asked(spark):
+    plan = feature_frame(golden(spark, 30), ["RSI_14"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    for unread in ("stddev_samp", "_sum_volume", "_sum_close", "_high20", "_lag20"):
+        assert unread not in plan, unread
