@@ -140,7 +140,7 @@ def prices_norm(s, p):
 
 
 add("i03_norm_prices",
-    lambda s, p: outcome(prices_norm(s, p), "symbol").withColumn("code", F.col("code")),
+    lambda s, p: outcome(prices_norm(s, p), "symbol"),
     sql("SELECT artifact_id, row_no, code, symbol FROM price_norm", "price_norm"))
 add("i12_multi_format_date",
     lambda s, p: raw_prices(s, p).groupBy(s_(parsing.multi_format_date(F.col("TradDt"))).alias("day")).agg(F.count(F.lit(1)).alias("rows")),

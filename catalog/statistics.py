@@ -104,7 +104,7 @@ def few(df, keys, *cols):
 
 
 add("n2_profit_factor",
-    lambda s, p: few(analytics.trade_analytics(decided(s, p).withColumn("series", F.col("series")), ["series"], False),
+    lambda s, p: few(analytics.trade_analytics(decided(s, p), ["series"], False),
                      ["series"], "closed_count", "profit_factor", "warnings"),
     trade_sql(f"SELECT CAST(label AS BIGINT) AS series, closed_count, profit_factor, warnings FROM ({metrics_sql()})",
               more=tagged("series")))

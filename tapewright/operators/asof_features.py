@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.fixed_values import FEATURE_CODES
+from tapewright.functions.fixed_values import FEATURE_CODES, MARKET_ZONE
 from tapewright.operators.actions import actions_as_of, adjust_prices, pit_adjusted_frame
 from tapewright.operators.features import feature_frame
 from tapewright.operators.pit import prices_range, with_session_times
 
 
 def _to_session(as_of: Column, end=None) -> Column:
-    last = F.to_date(F.from_utc_timestamp(as_of, "Asia/Kolkata"))
+    last = F.to_date(F.from_utc_timestamp(as_of, MARKET_ZONE))
     return last if end is None else F.least(last, F.lit(end).cast("date"))
 
 

@@ -14,11 +14,6 @@ def append_inserts(merged: DataFrame, path: str, dry_run: bool = False, partitio
     return rows
 
 
-def replace_dates(df: DataFrame, path: str, date_col: str = "session") -> None:
-    """Rewrite only the dates present in `df`."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
-
-
 def write_tape(bars: DataFrame, table: str, buckets: int) -> None:
     """Bars bucketed by series and sorted by session, so that features need no shuffle and no sort."""
     bars.write.mode("overwrite").format("parquet").bucketBy(buckets, "series").sortBy("series", "session").saveAsTable(table)
