@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm import text
+from tapewright.llm.rows import bounded_batches
 
 #: Symbols whose anchors are searched at once; also the range of positions that ties are broken in.
 PART = 1 << 20
@@ -44,6 +45,7 @@ class Shape:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """id (null last), a hash of the text, and the text as bytes; nothing else of the input."""
+    bounded_batches(docs.sparkSession)
     content = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(content).alias("th"), content.alias("text"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import boosting, text
+from tapewright.llm.rows import bounded_batches
 from tapewright.llm.training_pages import pages
 
 #: Elements of HTML by their part in a page.
@@ -267,6 +268,7 @@ def extract_all(htmls: list[str], trees: boosting.Trees, settings: Settings) ->
 def extract(table: DataFrame, settings: Settings | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, url and the main text of every page; the url is null if the table has none."""
     settings = settings or Settings()
+    bounded_batches(table.sparkSession)
     shared = table.sparkSession.sparkContext.broadcast(model(settings))
     url = F.col("url").cast("string") if "url" in table.columns else F.lit(None).cast("string")
     ready = table.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("binary").alias("html"))

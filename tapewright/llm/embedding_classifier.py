@@ -157,6 +157,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_column(docs: DataFrame, model: Model) -> Column:
     """The score as a column of `docs`, for filters that keep all columns as they are."""
+    rows.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

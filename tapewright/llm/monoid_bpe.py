@@ -33,7 +33,7 @@ from tapewright.llm import rows, text
 TEXT_LEAF = 1 << 16
 PIECE_LEAF = 32
 #: Pieces remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 NONE = np.int32(1 << 30)
 
 

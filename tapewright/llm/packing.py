@@ -38,7 +38,7 @@ class Limits:
     pool: int = 1024
 
 
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Stands between words that are encoded in one call.
 MARK = "`"
 
