@@ -121,18 +121,23 @@ def coded(entries: DataFrame, books: Codebooks) -> DataFrame:
 
 def visit(first: np.ndarray, second: np.ndarray, sizes: dict[tuple[int, int], int], wanted: int) -> list[tuple[int, int]]:
     """Cells in the order of the summed distance until they hold `wanted` entries: the multi-sequence walk with a heap."""
-    one, two = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, cells, held = [(first[one[0]] + second[two[0]], 0, 0)], {(0, 0)}, [], 0
+    one, two = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
+    f, s = np.sort(first).tolist(), np.sort(second).tolist()
+    # A cell is followed by the next of its row, the first of a row also by the first of the next: each has one way in.
+    heap, cells, held = [(f[0] + s[0], 0, 0)], [], 0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = (int(one[i]), int(two[j]))
-        if sizes.get(cell):
+        _, i, j = heap[0]
+        cell = (one[i], two[j])
+        size = sizes.get(cell)
+        if size:
             cells.append(cell)
-            held += sizes[cell]
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(one) and b < len(two) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (first[one[a]] + second[two[b]], a, b))
+            held += size
+        if j + 1 < len(s):
+            heapq.heapreplace(heap, (f[i] + s[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(f):
+            heapq.heappush(heap, (f[i + 1] + s[0], i + 1, 0))
     return cells
 
 
@@ -179,7 +184,9 @@ def nearest(table: DataFrame, is_query: Column, settings: Settings | None = None
 
     asking = cut_lineage(clean.where("asks").select("id", "vector"))
     searches = cut_lineage(asking.groupBy("vector").agg(F.min("id").alias("ask")))
-    probes = cut_lineage(searches.select("vector", "ask").mapInArrow(walk, "ask long, size int, c1 int, seconds array<int>"))
+    # A walk is work for a core, however few rows the searches are: they are dealt to as many tasks as a shuffle has.
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = cut_lineage(searches.select("vector", "ask").repartition(tasks, "ask").mapInArrow(walk, "ask long, size int, c1 int, seconds array<int>"))
     # Searches meet entries under the first code and keep to their cells there. Both sides of a code are dealt into blocks,
     # and every block of entries meets every block of searches. The counts have a row a code.
     cell = ["size", "c1"]
