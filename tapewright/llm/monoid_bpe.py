@@ -2,9 +2,10 @@
 
 Two joins are used, and both stop on a proof, not on a guess.
 
-* Cutting a text into the pieces of the pattern. A long text is halved anywhere. The pattern never looks back and looks ahead
-  by one character after a match, so all pieces of the left half but its last hold; from there matching goes on until it
-  meets the start of a piece of the right half, after which all of those hold.
+* Cutting a text into the pieces of the pattern. A long text is halved anywhere. The pattern never looks back. A piece is told
+  by the character after it and by the three from its start on, which may be a contraction ('re). So all pieces of the left
+  half hold but its last and those that start within two characters of the cut; from there matching goes on until it meets
+  the start of a piece of the right half, after which all of those hold.
 * Merging the bytes of a piece. A long piece is halved. Tokens a, b that stand side by side are stable if encoding their
   bytes gives a, b again; a sequence is the encoding of its bytes exactly if all neighbours are stable. So the tokens in a
   window around the seam are encoded anew, and the window grows on the side where its edge is not stable with its neighbour.
@@ -32,6 +33,8 @@ from tapewright.llm import rows, text
 #: Characters of a text that are cut, and bytes of a piece that are merged, without halving.
 TEXT_LEAF = 1 << 16
 PIECE_LEAF = 32
+#: Characters of the pattern's longest contraction.
+CONTRACTION = 3
 #: Pieces remembered by a task; beyond it the memory starts anew.
 REMEMBERED = 150_000
 NONE = np.int32(1 << 30)
@@ -152,6 +155,8 @@ def piece_starts(whole: str, pattern, start: int = 0, stop: int | None = None) -
     half = (start + stop) // 2
     left, right = piece_starts(whole, pattern, start, half), piece_starts(whole, pattern, half, stop)
     at = left.pop()
+    while left and left[-1] > half - CONTRACTION:
+        at = left.pop()
     while at < stop:
         i = bisect_left(right, at)
         if i < len(right) and right[i] == at:

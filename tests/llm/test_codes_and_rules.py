@@ -31,6 +31,17 @@ def test_any_halving_gives_the_library_ids(monkeypatch, text_leaf, piece_leaf):
     assert got == [np.array(reference().encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
+def test_contractions_hold_at_every_cut(monkeypatch):
+    pattern = monoid_bpe.compiled(public_tokenizers.PATTERN)
+    for tail in ("you're here", "we've it", "they'll go", "it's 'tis", "''re'''ll've", "x'r e'l l 're", "a \n 've  'll"):
+        for before in range(len(tail) + 1):
+            whole = "b" * before + tail + "c" * (len(tail) - before)
+            starts = [m.start() for m in pattern.finditer(whole)]
+            for leaf in (1, 2, 3, 5, len(whole) - 1):
+                monkeypatch.setattr(monoid_bpe, "TEXT_LEAF", leaf)
+                assert monoid_bpe.piece_starts(whole, pattern) == starts, (whole, leaf)
+
+
 def test_encoding_and_decoding_of_a_table(spark, tmp_path):
     frame = data.documents(spark)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
