@@ -72,7 +72,8 @@ class Tree:
     parts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def parse(page: str) -> Tree:
+def parse(page: str, marked: bool = True) -> Tree:
+    """The page's elements; `marked` pages are drawn ones, whose data-y is read. On a real page data-y may be anything."""
     tree, stack, at, block = Tree(["html"], [-1], [frozenset()], [-1]), [0], 0, 0
     while True:
         m = _TOKEN.search(page, at)
@@ -116,8 +117,9 @@ def parse(page: str) -> Tree:
         tokens, label = set(), -1
         if m[3]:
             for key, a, b, c in _ATTRIBUTE.findall(m[3]):
-                if key == "data-y":
-                    label = int(a or b or c or -1)
+                if key.lower() == "data-y":
+                    if marked:
+                        label = int(a or b or c or -1)
                 else:
                     tokens.update(_SPLIT.split((a or b or c).lower()))
         tree.tags.append(name)
@@ -255,7 +257,7 @@ def text_of(tree: Tree, taken: np.ndarray) -> str:
 
 
 def extract_all(htmls: list[str], trees: boosting.Trees, settings: Settings) -> list[str]:
-    parsed = [parse(h) for h in htmls]
+    parsed = [parse(h, marked=False) for h in htmls]
     found = [described(t) for t in parsed]
     odds = trees.log_odds(np.concatenate([x for x, _ in found])) if found else np.zeros(0)
     out, at = [], 0

@@ -113,3 +113,13 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     trees = boosting.train(x, y, np.ones(len(x)), trees=30, depth=3)
     assert ((trees.log_odds(x) > 0) == y).mean() > 0.97
+
+
+def test_training_marks_mean_nothing_on_real_pages(spark):
+    plain = training_pages.pages(1, 77)[0].replace("data-y", "data-x")
+    texts = [plain]
+    for mark in ('data-y="50%"', "data-y=\"['middle','middle']\"", 'href="?data-y=x"', "data-y=1.5", 'DATA-Y="nav"', "data-y"):
+        texts.append(plain.replace("<div", f"<div {mark}").replace("<p", f"<p {mark}"))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, html string")
+    got = [r.text for r in dom_boost.extract(table).orderBy("page_id").collect()]
+    assert len(got) == len(texts) and got[0] and set(got) == {got[0]}
