@@ -63,7 +63,11 @@ class Words:
         self.tokenizer, self.known = _tokenizer(path), {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Many words in few calls: they are strung together with a mark between them, whose one id parts their ids."""
+        """Many words in few calls: they are strung together with a mark between them, whose one id parts their ids.
+
+        A word that yields the mark's id itself (normalising turns other signs into it) shows as a mark too many; the words
+        of such a run are encoded one by one.
+        """
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         strung = [i for i, w in enumerate(words) if MARK.encode() not in w] if len(mark) == 1 else []
         apart = sorted(set(range(len(words))) - set(strung))
@@ -74,6 +78,9 @@ class Words:
         for run, encoding in zip(runs, found, strict=True):
             ids = np.array(encoding.ids, "<u4")
             ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+            if len(ends) != len(run):
+                apart += run
+                continue
             packed_ids, at = ids.tobytes(), 0
             for i, end in zip(run, ends, strict=True):
                 out[i] = packed_ids[4 * at:4 * end]

@@ -62,6 +62,14 @@ def test_words_are_encoded_as_whole_texts():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_that_normalise_to_the_mark():
+    whole = Tokenizer.from_file(WORDS)
+    whole.encode_special_tokens = True
+    texts = ["a \u1fef b", "\u1fef", "x\u1fefy \u1fef\u1fef ` z", " ".join(f"w{i}" for i in range(1500)) + " \u1fef"]
+    got = packing.Words(WORDS).encode([t.encode() for t in texts])
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64, 16), packing.Limits(128, 8, 40, 8)])
 def test_packing_keeps_every_id_once_and_all_limits(spark, limits):
     frame = data.documents(spark, repeated=False).where("doc_id is not null")
