@@ -182,8 +182,11 @@ def flagged_spans(flags: np.ndarray, base: np.ndarray, length: int) -> tuple[np.
     return row, base[row] + a, base[row] + b - 1 + length
 
 
-def counted_runs(found: DataFrame, shape: Shape, runs: Callable[[bytes], np.ndarray], smaller_id: bool) -> DataFrame:
-    """Spans for anchors with very many classes: runs of `length` symbols are counted by hash, combined before the shuffle."""
+def counted_runs(found: DataFrame, shape: Shape, runs: Callable[[bytes], np.ndarray], smaller_id: bool, placed: bool = False) -> DataFrame:
+    """Spans for anchors with very many classes: runs of `length` symbols are counted by hash, combined before the shuffle.
+
+    With `placed`, the anchor and its place `at` come with each span.
+    """
 
     def run(batches):
         for batch in batches:
@@ -202,7 +205,8 @@ def counted_runs(found: DataFrame, shape: Shape, runs: Callable[[bytes], np.ndar
     each = found.mapInArrow(run, "anchor long, offset long, run long, id long, th long, start long, extra long")
     counts = each.groupBy("anchor", "offset", "run").agg(F.sum("extra").alias("n"), F.min("id").alias("first_id"))
     hit = each.join(counts, ["anchor", "offset", "run"]).where("id > first_id" if smaller_id else "n > 1")
-    return hit.select("id", "th", "start", (F.col("start") + shape.length).alias("stop"))
+    place = ["anchor", (F.col("start") - F.col("offset")).alias("at")] if placed else []
+    return hit.select("id", "th", "start", (F.col("start") + shape.length).alias("stop"), *place)
 
 
 def per_document(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ the end of a factor, which the next factor could not show, are looked up one by
 words that an earlier document has holds an anchor of that document, so some block finds it.
 
 A block is bounded: an anchor with more segments than a task should hold is settled by counted runs. Within one class of
-equal segments only those of the smallest id are parsed, the later ones being duplicates in full.
+equal segments only the first is parsed: those of later ids are duplicates in full, and its spans are laid onto the others
+of its own document.
 
 Defined results: a null text has no words. Under 50 words nothing is removed. Rows that repeat an id are one document and no
 reference for each other. A null id comes after every other.
@@ -20,11 +21,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm import anchors, rows, text
 from tapewright.llm.anchors import Shape
+from tapewright.session import cut_lineage
 
 WORDS = Shape(length=50, k=8)
 
@@ -83,7 +85,9 @@ def _factor(batches):
                 starts.append(int(at[i]) - int(left[i]) + a)
                 stops.append(int(at[i]) - int(left[i]) + b)
             waiting.append((ids[i], words, runs))
-        yield anchors.spans_out(batch, np.array(found, np.int64), np.array(starts, np.int64), np.array(stops, np.int64))
+        take = np.array(found, np.int64)
+        spans = anchors.spans_out(batch, take, np.array(starts, np.int64), np.array(stops, np.int64))
+        yield pa.RecordBatch.from_arrays([*spans.columns, pa.array(key[take]), pa.array(at[take])], names=[*spans.schema.names, "anchor", "at"])
 
 
 def _run_hashes(data: bytes) -> np.ndarray:
@@ -92,15 +96,24 @@ def _run_hashes(data: bytes) -> np.ndarray:
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(id, th, start, stop) in words: what earlier documents have in runs of 50; `docs` is keyed."""
-    found = anchors.classified(anchors.occurrences(docs, WORDS, word_values))
+    whole = Window.partitionBy("anchor", "segment").orderBy("id", "th", "at")
+    found = anchors.classified(anchors.occurrences(docs, WORDS, word_values)).withColumns({
+        "first_th": F.first("th").over(whole), "first_at": F.first("at").over(whole)})
     later = found.where("id > first_id").select(
         "id", "th", F.greatest(F.col("at") - WORDS.reach, F.lit(0)).alias("start"), (F.col("at") + WORDS.length).alias("stop"))
-    own = found.where("id = first_id and n_classes > 1").select("id", "th", "anchor", "at", "n_classes", F.lit(1).cast("long").alias("extra"))
+    own = found.where("id = first_id and n_classes > 1")
+    one = own.where("first = 1").select("id", "th", "anchor", "at", "n_classes", F.lit(1).cast("long").alias("extra"))
     limit = F.lit(WORDS.group_limit)
-    small = anchors.segments(own.where(F.col("n_classes") <= limit), docs, WORDS, _cut)
-    large = anchors.segments(own.where(F.col("n_classes") > limit), docs, WORDS, _cut)
-    parsed = small.repartition("anchor").sortWithinPartitions("anchor", "id", "th", "at").mapInArrow(_factor, anchors.SPAN)
-    return later.unionByName(parsed).unionByName(anchors.counted_runs(large, WORDS, _run_hashes, smaller_id=True))
+    small = anchors.segments(one.where(F.col("n_classes") <= limit), docs, WORDS, _cut)
+    large = anchors.segments(one.where(F.col("n_classes") > limit), docs, WORDS, _cut)
+    parsed = small.repartition("anchor").sortWithinPartitions("anchor", "id", "th", "at").mapInArrow(_factor, anchors.SPAN + ", anchor long, at long")
+    spans = cut_lineage(parsed.unionByName(anchors.counted_runs(large, WORDS, _run_hashes, smaller_id=True, placed=True)))
+    again = own.where("first = 0").select("id", "th", "at", "anchor", "first_th", "first_at")
+    shift = F.col("at") - F.col("first_at")
+    laid = again.join(
+        spans.select("anchor", "id", F.col("th").alias("first_th"), F.col("at").alias("first_at"), "start", "stop"), ["anchor", "id", "first_th", "first_at"],
+    ).select("id", "th", (F.col("start") + shift).alias("start"), (F.col("stop") + shift).alias("stop"))
+    return later.unionByName(spans.select("id", "th", "start", "stop")).unionByName(laid)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

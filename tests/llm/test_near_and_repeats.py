@@ -46,6 +46,29 @@ def test_removed_words_are_those_of_the_plain_version(spark, tmp_path, rows):
     assert Counter(map(tuple, got)) == Counter(expected)
 
 
+def test_one_segment_a_class_and_document_is_parsed(spark, tmp_path, monkeypatch):
+    """Documents of one repeated word or line, and passages that stand twice in the document that has them first."""
+    passage, around = data.prose(70, 80), [data.prose(71, 30), data.prose(72, 30)]
+    twice = f"{around[0]} {passage} {around[1]}"
+    line = data.prose(73, 7)
+    rows = [(1, passage), (2, f"{twice} {data.prose(74, 60)} {twice}"), (3, "echo " * 3000), (4, data.prose(75, 20) + " echo" * 2000), (5, f"{line}\n" * 400),
+            (6, f"{data.prose(76, 60)} {line} {line} " + f"{line}\n" * 300 + twice), (2, f"{data.prose(77, 60)} {twice}")]
+    sent, plain = [], anchors.segments
+
+    def counting(wanted, *more):
+        sent.append(wanted.count())
+        return plain(wanted, *more)
+
+    monkeypatch.setattr(anchors, "segments", counting)
+    frame = data.documents(spark, rows, repeated=False)
+    got = factoring.query(spark, write(tmp_path, frame)).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.earlier(data.as_bytes(rows)))
+    assert sum(sent) < 1000
+    usual = factoring.WORDS
+    monkeypatch.setattr(factoring, "WORDS", anchors.Shape(usual.length, usual.k, group_limit=1))
+    assert Counter(map(tuple, factoring.query(spark, str(tmp_path)).collect())) == Counter(map(tuple, got))
+
+
 @pytest.mark.parametrize("module,shape", [(suffix_columns, "BYTES"), (factoring, "WORDS")])
 def test_large_anchors_are_settled_alike(spark, tmp_path, monkeypatch, module, shape):
     rows = many(50)
