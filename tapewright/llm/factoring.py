@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tapewright.llm import anchors, rows, text
 from tapewright.llm.anchors import Shape
-from tapewright.session import cut_lineage
 
 WORDS = Shape(length=50, k=8)
 
@@ -107,12 +106,12 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     small = anchors.segments(one.where(F.col("n_classes") <= limit), docs, WORDS, _cut)
     large = anchors.segments(one.where(F.col("n_classes") > limit), docs, WORDS, _cut)
     parsed = small.repartition("anchor").sortWithinPartitions("anchor", "id", "th", "at").mapInArrow(_factor, anchors.SPAN + ", anchor long, at long")
-    spans = cut_lineage(parsed.unionByName(anchors.counted_runs(large, WORDS, _run_hashes, smaller_id=True, placed=True)))
-    again = own.where("first = 0").select("id", "th", "at", "anchor", "first_th", "first_at")
-    shift = F.col("at") - F.col("first_at")
-    laid = again.join(
-        spans.select("anchor", "id", F.col("th").alias("first_th"), F.col("at").alias("first_at"), "start", "stop"), ["anchor", "id", "first_th", "first_at"],
-    ).select("id", "th", (F.col("start") + shift).alias("start"), (F.col("stop") + shift).alias("stop"))
+    spans = parsed.unionByName(anchors.counted_runs(large, WORDS, _run_hashes, smaller_id=True, placed=True))
+    # The key is a struct, never null: so no filter goes below the windows and all branches share one exchange.
+    key = F.struct("anchor", "id", F.col("first_th").alias("th"), F.col("first_at").alias("at")).alias("key")
+    again = own.where("first = 0").select(key, "id", "th", (F.col("at") - F.col("first_at")).alias("shift"))
+    laid = again.join(spans.select(F.struct("anchor", "id", "th", "at").alias("key"), "start", "stop"), "key").select(
+        "id", "th", (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"))
     return later.unionByName(spans.select("id", "th", "start", "stop")).unionByName(laid)
 
 
