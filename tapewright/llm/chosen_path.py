@@ -272,26 +272,44 @@ def stars(nodes: DataFrame, settings: Settings) -> DataFrame:
     return pairs.distinct()
 
 
+def meeting_tasks(nodes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """(path, a, b, inner, rep, label, outside, own, sketch): nodes of several components, dealt into tasks.
+
+    Both sides of a node are dealt into blocks of `node_limit`. Every block of outside classes meets every block of the
+    commonest component (a = b), and every other block of outside classes (a < b, pairs across only), so blocks hide no
+    pair and a task holds two blocks at most.
+    """
+    marked = nodes.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    sizes = marked.groupBy("path", "label").agg(F.count("*").alias("n"))
+    common = sizes.groupBy("path").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("n_labels")).where("n_labels > 1")
+    blocks = lambda n: F.ceil(n / settings.node_limit)
+    mixed = marked.drop("n_blocks").join(common.select(
+        "path", F.col("top.label").alias("common"), blocks(F.col("top.n")).alias("n_inner"), blocks(F.col("n_all") - F.col("top.n")).alias("n_outer")), "path")
+    outside = F.col("label") != F.col("common")
+    own = F.pmod(F.xxhash64("rep"), F.when(outside, F.col("n_outer")).otherwise(F.col("n_inner")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    task = lambda a, b, inner: F.struct(a.alias("a"), b.alias("b"), inner.alias("inner"))
+    none = F.lit(-1).cast("long")
+    met_inner = F.transform(upto("n_inner"), lambda i: task(F.col("own"), F.col("own"), i))
+    others = F.filter(upto("n_outer"), lambda b: b != F.col("own"))
+    met_outer = F.transform(others, lambda b: task(F.least("own", b), F.greatest("own", b), none))
+    inner = F.transform(upto("n_outer"), lambda a: task(a, a, F.col("own")))
+    spread = mixed.withColumn("own", own).withColumn("task", F.explode(F.when(outside, F.concat(met_inner, met_outer)).otherwise(inner)))
+    return spread.select("path", "task.a", "task.b", "task.inner", "rep", "label", outside.cast("long").alias("outside"), "own", "sketch")
+
+
 def meetings(nodes: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """(x, target): classes that resemble another component's class in a node, each with the component to be compared with.
 
     In a node every class outside the commonest component names that component if it resembles one of its classes; of the
     others, the first becomes a centre for those it resembles, and so on. Two that are alike and share no centre get one. So
-    a crowd costs a few rows a class, not a row a pair. Outside classes go to every block of a node: blocks hide no pair.
+    a crowd costs a few rows a class, not a row a pair.
     """
-    marked = nodes.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    sizes = marked.groupBy("path", "label").agg(F.count("*").alias("n"))
-    common = sizes.groupBy("path").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("n_labels")).where("n_labels > 1")
-    mixed = marked.join(common.select("path", F.col("top.label").alias("common")), "path")
-    own = F.pmod(F.xxhash64("rep"), F.col("n_blocks"))
-    outside = F.col("label") != F.col("common")
-    spread = mixed.withColumn("block", F.explode(F.when(outside, F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(own))))
-    ready = spread.select("path", "block", "rep", "label", outside.cast("long").alias("outside"), "sketch")
 
     def run(batches):
-        for _, table in _groups(batches, 2):
+        for (_, a, b, _), table in _groups(batches, 4):
             batch = _one(table)
-            reps, label, out = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            reps, label, out, side = (batch.column(i).to_numpy() for i in (4, 5, 6, 7))
             short = _matrix(batch, "sketch", np.uint8)
             strange = np.flatnonzero(out)
             strange = strange[np.argsort(reps[strange], kind="stable")]
@@ -304,6 +322,8 @@ def meetings(nodes: DataFrame, labels: DataFrame, settings: Settings) -> DataFra
             targets, alike = [top], np.zeros((len(strange), len(strange)), bool)
             for k, i in enumerate(strange):
                 alike[k] = (_agree(short[i], short[strange]) >= settings.sketch_match) & (label[strange] != label[i])
+                if a != b:
+                    alike[k] &= side[strange] != side[i]
                 if not goes[k].any() and alike[k].any():
                     goes = np.concatenate([goes, alike[k][:, None]], axis=1)
                     goes[k, -1] = True
@@ -317,7 +337,8 @@ def meetings(nodes: DataFrame, labels: DataFrame, settings: Settings) -> DataFra
                 x, target = zip(*sorted(pairs), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(target, pa.int64())], names=["x", "target"])
 
-    return ready.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "x long, target long").distinct()
+    keys = ("path", "a", "b", "inner")
+    return meeting_tasks(nodes, labels, settings).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, target long").distinct()
 
 
 def needed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

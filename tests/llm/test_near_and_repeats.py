@@ -1,4 +1,4 @@
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -98,6 +98,31 @@ def test_chains_and_crowds_of_near_copies(spark):
     assert {tuple(r)[:3] for r in got} == set(brute.groups(data.as_bytes(chain + crowd), 2))
 
 
+def test_meetings_hold_two_blocks_a_task_and_hide_no_pair(spark):
+    """A node of many classes that are alike and not connected, with and without a common component."""
+    r, limit = np.random.default_rng(5), 16
+    base = r.integers(0, 256, 16, np.uint8)
+    sketch = [base.copy() for _ in range(150)]
+    for i, one in enumerate(sketch):
+        one[r.choice(16, i % 12, replace=False)] ^= 0x11
+    settings = chosen_path.Settings(words=2, node_limit=limit)
+    nodes = spark.createDataFrame([(1, 10, i, bytes(x)) for i, x in enumerate(sketch)], "path long, n_blocks long, rep long, sketch binary")
+
+    for size in (1, 60):
+        label = {i: 0 if i < size else i for i in range(150)}
+        labels = spark.createDataFrame([(i, 0) for i in range(size)] if size > 1 else [], "node long, component long")
+        tasks = chosen_path.meeting_tasks(nodes, labels, settings).groupBy("path", "a", "b", "inner").count()
+        assert tasks.agg(F.max("count")).first()[0] <= 4 * limit
+        groups = defaultdict(set)
+        for x, target in map(tuple, chosen_path.meetings(nodes, labels, settings).collect()):
+            groups[target].add(x)
+        compared = {frozenset((x, y)) for target, comers in groups.items() for x in comers for y in comers | {i for i in label if label[i] == target}}
+        met = {frozenset(label[x] for x in pair) for pair in compared}
+        for i in range(150):
+            alike = chosen_path._agree(sketch[i], np.stack(sketch)) >= settings.sketch_match
+            assert all(label[i] == label[j] or frozenset((label[i], label[j])) in met for j in np.flatnonzero(alike).tolist())
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     frame = data.documents(spark)
     left = chosen_path.representatives(frame)
