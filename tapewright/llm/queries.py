@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapewright.llm import (
-    chosen_path, divergence_rules, dom_boost, embedding_classifier, factoring, monoid_bpe, multi_index, packing, suffix_columns, toxicity)
+    chosen_path, divergence_rules, dom_boost, embedding_classifier, factoring, mixing, monoid_bpe, multi_index, packing, suffix_columns, toxicity)
 
 QUERIES = {
     "op1_multi_index": multi_index.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_divergence_rules": divergence_rules.query,
     "op9_monoid_bpe": monoid_bpe.query,
     "op10_vector_packing": packing.query,
+    "op11_multinomial_mix": mixing.query,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -54,4 +55,5 @@ ORACLES: dict[str, str] = {
     "op4_chosen_path": NEAR_DUPLICATES,
     "op6_relative_lz": EARLIER_WINDOWS,
     "op8_divergence_rules": divergence_rules.oracle_sql(),
+    "op11_multinomial_mix": mixing.oracle_sql(),
 }
