@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tapewright.llm import (
-    chosen_path, divergence_rules, dom_boost, embedding_classifier, factoring, mixing, monoid_bpe, multi_index, packing, suffix_columns, toxicity)
+    chosen_path, divergence_rules, dom_boost, embedding_classifier, factoring, mixing, monoid_bpe, multi_index, packing, ranked_search, suffix_columns, toxicity,
+    whitening)
 
 QUERIES = {
     "op1_multi_index": multi_index.query,
@@ -17,6 +18,8 @@ QUERIES = {
     "op9_monoid_bpe": monoid_bpe.query,
     "op10_vector_packing": packing.query,
     "op11_multinomial_mix": mixing.query,
+    "op12_spectrum_slicing": whitening.query,
+    "op13_term_pipeline": ranked_search.query,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -56,4 +59,5 @@ ORACLES: dict[str, str] = {
     "op6_relative_lz": EARLIER_WINDOWS,
     "op8_divergence_rules": divergence_rules.oracle_sql(),
     "op11_multinomial_mix": mixing.oracle_sql(),
+    "op13_term_pipeline": ranked_search.oracle_sql(),
 }
