@@ -2,74 +2,79 @@
 
 All window expressions share one key and order, so a frame costs one shuffle and one sort. Moving sums are
 differences of a running sum (constant work per row whatever the window length); only the two deviations and the
-prior high slide a frame. EMA, RSI and ATR depend on the whole prefix and run in one `ordered_scan` on top of the
-same partitioning, and only when asked for.
+prior high slide a frame. EMA, RSI and ATR depend on the whole prefix and run in one `lockstep_scan` on top of the
+same partitioning, each only when asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewright.functions.fixed_values import (
     FEATURE_CODES, MIN_OBSERVATIONS, RECURSIVE_CODES, SESSIONS_PER_YEAR,
 )
 from tapewright.functions.numbers import as_double, change, ratio
-from tapewright.operators.ordered import ordered_scan
+from tapewright.operators.lockstep import Step, lockstep_scan
 
 RETURN_LAGS = {
     "RET_1D": 1, "RET_5D": 5, "RET_10D": 10, "RET_20D": 20, "MOM_1M_21D": 21, "MOM_3M_63D": 63, "MOM_6M_126D": 126,
 }
 
 
-def _smoother():
-    """EMA 20/50, Wilder gain/loss and Wilder range of one series; seeds are plain means of the first n values."""
-    count = 0
-    sums = {20: 0, 50: 0}
-    ema = {20: None, 50: None}
-    previous = gain = loss = atr = None
-    gains = losses = ranges = 0
-
-    def step(close, true_range):
-        nonlocal count, previous, gain, loss, atr, gains, losses, ranges
-        count += 1
-        for n in (20, 50):
-            if count <= n:
-                sums[n] += close
-                if count == n:
-                    ema[n] = sums[n] / n
-            else:
-                alpha = 2.0 / (n + 1)
-                ema[n] = alpha * close + (1.0 - alpha) * ema[n]
-        if count > 1:
-            up, down = max(close - previous, 0), max(previous - close, 0)
-            if count <= 15:
-                gains, losses = gains + up, losses + down
-                if count == 15:
-                    gain, loss = gains / 14, losses / 14
-            else:
-                gain, loss = (gain * 13.0 + up) / 14.0, (loss * 13.0 + down) / 14.0
-        previous = close
-        if count <= 14:
-            ranges += true_range
-            if count == 14:
-                atr = ranges / 14
-        else:
-            atr = (atr * 13.0 + true_range) / 14.0
-        rsi = None
-        if gain is not None:
-            if loss == 0:
-                rsi = 50.0 if gain == 0 else 100.0
-            else:
-                rsi = 0.0 if gain == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
-        return ema[20], ema[50], rsi, atr
+# --- recursions in lockstep: state and inputs hold one entry for each series that has an n-th row -----------------------
+def _ema(span: int) -> Step:
+    """Seeded with the mean of the first `span` closes."""
+    alpha = 2.0 / (span + 1)
+
+    def step(n, state, inputs):
+        value, close = state[0], inputs[0]
+        if n < span:
+            return [value + close], None
+        value = (value + close) / span if n == span else alpha * close + (1.0 - alpha) * value
+        return [value], value
 
     return step
 
 
+def _atr(n, state, inputs):
+    """Wilder's mean of 14 true ranges."""
+    value, true_range = state[0], inputs[1]
+    if n < 14:
+        return [value + true_range], None
+    value = (value + true_range) / 14 if n == 14 else (value * 13.0 + true_range) / 14.0
+    return [value], value
+
+
+def _rsi(n, state, inputs):
+    """Wilder's means of 14 gains and losses, and their relative strength."""
+    (previous, gain, loss), close = state, inputs[0]
+    if n == 1:
+        return [close, gain, loss], None
+    up, down = np.maximum(close - previous, 0), np.maximum(previous - close, 0)
+    if n <= 15:
+        gain, loss = gain + up, loss + down
+        if n < 15:
+            return [close, gain, loss], None
+        gain, loss = gain / 14, loss / 14
+    else:
+        gain, loss = (gain * 13.0 + up) / 14.0, (loss * 13.0 + down) / 14.0
+    strength = 100.0 - 100.0 / (1.0 + gain / np.where(loss == 0, 1.0, loss))
+    flat = np.where(gain == 0, 50.0, 100.0)
+    return [close, gain, loss], np.where(loss == 0, flat, np.where(gain == 0, 0.0, strength))
+
+
+#: Recursion that a code rests on: name, entries of state, step.
+RECURSIONS = {"EMA_20": (1, _ema(20)), "EMA_50": (1, _ema(50)), "RSI_14": (3, _rsi), "ATR_14": (1, _atr)}
+
+
+def recursions_of(codes: Sequence[str]) -> list[str]:
+    return [name for name in RECURSIONS if name in codes or (name == "ATR_14" and "ATR_PCT_14" in codes)]
+
+
 def feature_frame(
     bars: DataFrame, codes: Sequence[str] = FEATURE_CODES, keys: Sequence[str] = ("series",),
     keep: Sequence[str] = (),
@@ -138,16 +143,16 @@ def feature_frame(
         "PRIOR_HIGH_20": as_double(F.col("PRIOR_HIGH_20")),
         "BREAKOUT_PCT_20": change(close, F.col("PRIOR_HIGH_20")),
     }
-    smoothed = ("EMA_20", "EMA_50", "RSI_14", "ATR_14")
     recursive = [c for c in codes if c in RECURSIVE_CODES]
     place = [*keys, "session", "n_obs", *[f"_k_{c}" for c in keep]]
     plain = [exprs.get(c, F.col(c)).alias(c) for c in codes if c not in recursive]
     if recursive:
         # Only what is asked for, the close and the true range leave the JVM; windows that nothing reads are pruned.
-        frame = ordered_scan(
+        asked = recursions_of(codes)
+        frame = lockstep_scan(
             frame.select(*place, "close", F.col("TRUE_RANGE").alias("_true_range"), *plain), keys, ["session"], ["close", "_true_range"],
-            [T.StructField(f"_{c}", T.DoubleType()) for c in smoothed], _smoother)
-        late = {**{c: F.col(f"_{c}") for c in smoothed}, "ATR_PCT_14": ratio(F.col("_ATR_14"), close)}
+            {f"_{name}": RECURSIONS[name] for name in asked})
+        late = {**{c: F.col(f"_{c}") for c in asked}, "ATR_PCT_14": ratio(F.col("_ATR_14"), close) if "ATR_14" in asked else None}
         plain = [F.col(c) if c not in recursive else late[c].alias(c) for c in codes]
     return frame.select(*[F.col(c).alias(c.removeprefix("_k_")) if c.startswith("_k_") else F.col(c) for c in place], *plain)
 
