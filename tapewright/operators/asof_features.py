@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.fixed_values import FEATURE_CODES, MARKET_ZONE
 from tapewright.operators.actions import actions_as_of, adjust_prices, pit_adjusted_frame
 from tapewright.operators.features import feature_frame
-from tapewright.operators.pit import prices_range, with_session_times
+from tapewright.operators.latest import latest_frame
+from tapewright.operators.pit import prices_range, session_list, with_session_times
 
 
 def _to_session(as_of: Column, end=None) -> Column:
@@ -44,9 +45,7 @@ def latest_features(
         last = usable.groupBy("series").agg(F.max("session").alias("_last"))
         known = actions_as_of(actions, as_of).join(last, "series").where(F.col("ex_date") <= F.col("_last"))
         usable = adjust_prices(usable, known.drop("_last"))
-    w = Window.partitionBy("series").orderBy("session")
-    marked = usable.withColumn("_newest", F.lead("session").over(w).isNull())
-    return feature_frame(marked, codes, keep=("available_at", "_newest")).where("_newest").drop("_newest")
+    return latest_frame(usable, codes, keep=("available_at",))
 
 
 def historical_features(
@@ -68,8 +67,6 @@ def missing_session_warning(bars: DataFrame, calendar: DataFrame, exchange: str
     The days of a series are compared as sorted arrays bounded by the calendar; no series x session product is
     shuffled.
     """
-    from tapewright.operators.pit import session_list
-
     own = bars.groupBy("series").agg(F.collect_set("session").alias("_own"), F.min("session").alias("_from"))
     days = session_list(calendar.where(F.col("exchange") == exchange))
     expected = F.filter(F.col("_days"), lambda d: d >= F.col("_from"))
