@@ -14,7 +14,7 @@ COMPONENTS = ("brokerage", "stt", "exchange_charge", "sebi_charge", "gst", "stam
 
 
 def _rate(rates: Mapping[str, object], name: str) -> Column:
-    return F.lit(str(rates[name])).cast("decimal(10,8)")
+    return F.lit(str(rates[name])).cast("decimal(9,8)")
 
 
 def leg_costs(turnover: Column, side: str, overrides: Mapping[str, object] | None = None) -> Column:
@@ -22,7 +22,7 @@ def leg_costs(turnover: Column, side: str, overrides: Mapping[str, object] | Non
     if side not in ("BUY", "SELL"):
         raise ValueError("side must be BUY or SELL")
     rates = {**COST_RATES, **(overrides or {})}
-    t = turnover.cast("decimal(22,6)")
+    t = turnover.cast("decimal(28,6)")
     flat = F.lit(str(rates["brokerage_flat"])).cast("decimal(12,2)")
     brokerage = money(flat + t * _rate(rates, "brokerage_rate"))
     stt = F.round(t * _rate(rates, "stt"), 0).cast("decimal(24,2)")

@@ -1,8 +1,8 @@
 """Forward labelling of setups: entry at the next open, stop/target/time exit, costs, one open trade per series.
 
-Every setup is priced independently on its own short path (at most holding + delay + 1 sessions, exploded and
-equi-joined on (series, session number), so no key is hot). Only the rule that a series holds one trade at a time
-is sequential; it is one `ordered_scan` over the priced setups.
+Bars, effects of actions and setups of a series share one shuffle. A range frame over session numbers (at most holding + delay + 1
+of them) gives each setup its own short path, and a fold in the JVM walks it to the first exit. Only the rule that a series
+holds one trade at a time is sequential.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewright.functions.costs import COMPONENTS, leg_costs
 from tapewright.functions.fixed_values import MAX_EXIT_DELAY, SLIPPAGE_BPS, TRADE_NOTIONAL
 from tapewright.functions.numbers import dec8, money, num, ticks_to_price
 from tapewright.operators.actions import SHARE_CHANGES, factor
-from tapewright.operators.ordered import ordered_scan
 from tapewright.operators.pit import session_index, with_session_times
 
-PRICE, QTY = "decimal(18,4)", "decimal(18,6)"
+PRICE, QTY, TURNOVER = "decimal(18,4)", "decimal(28,6)", "decimal(28,6)"
 
 
 @dataclass(frozen=True)
@@ -71,101 +69,122 @@ def hold_effects(actions: DataFrame, calendar: DataFrame, exchange: str = "X") -
     )
 
 
+#: One entry of a setup's path: a bar, or actions that take effect (before the bar of the same session).
+STEP = ("p int, is_bar boolean, day date, open decimal(18,4), high decimal(18,4), low decimal(18,4), close decimal(18,4), "
+        "factors array<decimal(19,18)>, notes array<string>")
+
+
+def _timeline(placed: DataFrame, bars: DataFrame, days: DataFrame, effects: DataFrame | None) -> DataFrame:
+    """Setups, bars and effects of every series by session number; only setups have a signal."""
+    step = [f.split(" ") for f in STEP.split(", ")]
+
+    def steps(**given) -> Column:
+        return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in step]).alias("step")
+
+    price = {c: ticks_to_price(F.col(c)) for c in ("open", "high", "low", "close")}
+    none = F.array().cast("array<string>")
+    tape = bars.select("series", "session", *price).join(days, "session").select(
+        "series", "p", steps(p=F.col("p"), is_bar=F.lit(True), day=F.col("session"), factors=none, notes=none, **price))
+    rows = tape if effects is None else tape.unionByName(effects.join(days, "session").select(
+        "series", "p", steps(p=F.col("p"), is_bar=F.lit(False), factors=F.col("factors"), notes=F.col("notes"))))
+    return placed.unionByName(rows, allowMissingColumns=True)
+
+
 def price_setups(
     setups: DataFrame, bars: DataFrame, calendar: DataFrame, actions: DataFrame | None, settings: TradeSettings,
 ) -> DataFrame:
-    """One row per distinct (series, session) setup, with the trade it would make or the reason it makes none."""
+    """One row per distinct (series, session) setup, with the trade it would make or the reason it makes none.
+
+    A range frame over session numbers gathers what follows a setup, from the next session to the last that an exit may take;
+    the path is folded in order to its first exit.
+    """
     st = settings
-    one = Window.partitionBy("exchange")  # a calendar: one row per session
+    one = Window.partitionBy("exchange").orderBy("session")  # a calendar: one row per session
     cal = (
         session_index(calendar, st.start, st.end).where(F.col("exchange") == st.exchange)
-        .withColumn("last_idx", F.max("idx").over(one)).select("session", "idx", "last_idx")
+        .withColumns({"last_idx": F.max("idx").over(Window.partitionBy("exchange")), "next": F.lead("session").over(one)})
+        .select("session", "idx", "last_idx", "next")
     )
+    days = cal.select("session", F.col("idx").alias("p"))
     placed = setups.select("series", F.col("session").alias("signal")).distinct().join(
-        cal.withColumnRenamed("session", "signal"), "signal", "left")
-    first, last = F.col("idx") + 1, F.col("last_idx")
-    reach = F.least(first + st.holding + st.max_exit_delay, last)
-    path = placed.where(first <= last).select(
-        "series", "signal", first.alias("entry"), "last_idx", F.explode(F.sequence(first, reach)).alias("p"))
-
-    day = cal.select("session", F.col("idx").alias("p"))
-    tape = bars.select("series", "session", "open", "high", "low", "close").join(day, "session").drop("session")
-    rows = path.join(day.withColumnRenamed("session", "day"), "p").join(tape, ["series", "p"], "left")
-    if actions is not None:
-        # effects are as few as actions; joined to the paths, so a session without a bar keeps its effect
-        effects = hold_effects(actions, calendar, st.exchange).join(day, "session").drop("session")
-        rows = rows.join(effects, ["series", "p"], "left")
-    else:
-        rows = rows.withColumns({"factors": F.array().cast("array<decimal(19,18)>"),
-                                 "notes": F.array().cast("array<string>")})
-
-    setup = Window.partitionBy("series", "signal")
-    ordered = setup.orderBy("p")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    entry_open = F.first("open").over(ordered)
+        cal.withColumnRenamed("session", "signal"), "signal", "left").withColumnRenamed("idx", "p")
+    effects = None if actions is None else hold_effects(actions, calendar, st.exchange)
+    after = Window.partitionBy("series").orderBy("p").rangeBetween(1, 1 + st.holding + st.max_exit_delay)
+    inside = F.col("p") + 1 <= F.col("last_idx")
+    rows = (
+        _timeline(placed, bars, days, effects).withColumn("_path", F.collect_list("step").over(after))
+        .where(F.col("signal").isNotNull())
+        .select("series", "signal", "last_idx", F.when(inside, F.col("p") + 1).alias("entry"), F.when(inside, F.col("next")).alias("entry_session"),
+                F.sort_array("_path").alias("_path"))
+    )
+    first = F.filter("_path", lambda e: e["is_bar"] & (e["p"] == F.col("entry")))
+    later = F.filter("_path", lambda e: e["is_bar"] | (e["p"] > F.col("entry")))
+    closed = F.array_max(F.transform(F.filter("_path", lambda e: e["close"] > 0), lambda e: e["p"]))
     rows = rows.withColumns({
-        "scheduled": F.col("entry") + st.holding,
-        "forced": F.col("entry") + st.holding > F.col("last_idx"),
-        "entry_open": entry_open,
-        "entry_day": F.first("day").over(ordered),
-        "_last_close": F.max(F.when(F.col("close") > 0, F.col("p"))).over(setup),
-        "_factors": F.flatten(F.collect_list(
-            F.when(F.col("p") > F.col("entry"), F.col("factors"))).over(upto)),
-        "_notes": F.flatten(F.collect_list(F.when(F.col("p") > F.col("entry"), F.col("notes"))).over(upto)),
+        "raw_entry": F.get(first, F.lit(0))["open"], "_path": later, "scheduled": F.col("entry") + st.holding,
+        "forced": F.col("entry") + st.holding > F.col("last_idx"), "_last_close": closed,
+    }).withColumns({
+        "slipped_entry": slipped(F.col("raw_entry"), st.slippage_bps, "BUY"),
+        "path_last": F.when(F.col("forced"), F.coalesce("_last_close", "entry")).otherwise(F.col("scheduled") - 1),
     })
-    price = {c: ticks_to_price(F.col(c)) for c in ("open", "high", "low", "close")}
-    entry = slipped(ticks_to_price(F.col("entry_open")), st.slippage_bps, "BUY")
-    path_last = F.when(F.col("forced"), F.coalesce("_last_close", "entry")).otherwise(F.col("scheduled") - 1)
+    priced = rows.withColumn("_end", _walked(st)).withColumns({
+        "x": F.col("_end.x"), "_low_seen": F.col("_end.low"), "_high_seen": F.col("_end.high"), "_all_notes": F.col("_end.notes")})
+    return _settle(priced.drop("_path", "_end"), st)
+
+
+EXIT = "struct<p:int,day:date,multiple:decimal(28,6),notes:array<string>,unclear:boolean,reason:string,base:decimal(18,4)>"
 
+
+def _walked(st: TradeSettings) -> Column:
+    """Fold of a path: levels and share multiple after all effects, extremes while held, and the first exit (x)."""
     def level(share: str | None, sign: int) -> Column:
         if share is None:
             return F.lit(None).cast(PRICE)
-        start = F.round(F.col("slipped_entry") * num(1 + sign * Decimal(share)), 4).cast(PRICE)
-        return F.aggregate("_factors", start, lambda lv, f: F.round(lv * f, 4).cast(PRICE))
-
-    multiple = F.aggregate("_factors", F.lit(1).cast(QTY), lambda q, f: (q / f).cast(QTY))
-    rows = rows.withColumns({"slipped_entry": entry, "path_last": path_last}).withColumns({
-        "stop": level(st.stop_loss, -1), "target": level(st.profit_target, 1), "multiple": multiple,
-        **{f"_{c}": v for c, v in price.items()},
-    })
-    held = (F.col("p") <= F.col("path_last")) & F.col("open").isNotNull()
-    stop, target = F.col("stop"), F.col("target")
-    by_open_stop, by_open_target = F.col("_open") <= stop, F.col("_open") >= target
-    by_low, by_high = F.col("_low") <= stop, F.col("_high") >= target
-    reason = (
-        F.when(by_open_stop, "STOP_LOSS").when(by_open_target, "PROFIT_TARGET").when(by_low, "STOP_LOSS")
-        .when(by_high, "PROFIT_TARGET")
-    )
-    base = (
-        F.when(by_open_stop | by_open_target, F.col("_open")).when(by_low, stop).when(by_high, target)
-    )
-    unclear = F.coalesce(~F.coalesce(by_open_stop, F.lit(False)) & ~F.coalesce(by_open_target, F.lit(False))
-                         & by_low & by_high, F.lit(False))
-    rows = rows.withColumns({"touch": F.when(held, reason), "touch_base": base, "unclear": held & unclear})
-    rows = rows.withColumn("touch_p", F.min(F.when(F.col("touch").isNotNull(), F.col("p"))).over(setup))
-
-    before_touch = held & (F.col("touch_p").isNull() | (F.col("p") < F.col("touch_p")))
-    at_touch = F.col("p") == F.col("touch_p")
-    searched = ~F.col("forced") & (F.col("p") >= F.col("scheduled")) & (F.col("open") > 0) & F.col("touch_p").isNull()
-    at_end = F.col("forced") & (F.col("p") == F.col("path_last")) & (F.col("close") > 0) & F.col("touch_p").isNull()
-    shares = F.col("multiple")
-    exit_row = F.struct(
-        F.col("p").alias("p"), F.col("day").alias("day"), shares.alias("multiple"), F.col("_notes").alias("notes"),
-        F.col("unclear").alias("unclear"), F.col("stop").alias("stop"), F.col("target").alias("target"),
-        F.when(at_touch, F.col("touch")).when(at_end, "FORCED_END_OF_TEST").otherwise("TIME_EXIT").alias("reason"),
-        F.when(at_touch, F.col("touch_base")).when(at_end, F.col("_close")).otherwise(F.col("_open")).alias("base"),
-    )
-    is_exit = at_touch | at_end | searched
-    low_seen = F.when(before_touch, F.col("_low").cast("double") * shares.cast("double"))
-    high_seen = F.when(before_touch, F.col("_high").cast("double") * shares.cast("double"))
-    priced = rows.groupBy("series", "signal", "entry", "scheduled", "path_last", "forced").agg(
-        F.any_value("entry_day").alias("entry_session"), F.any_value("entry_open").alias("entry_open"),
-        F.any_value("slipped_entry").alias("slipped_entry"),
-        F.min_by(F.when(is_exit, exit_row), F.when(is_exit, F.col("p"))).alias("x"),
-        F.min(low_seen).alias("_low_seen"), F.max(high_seen).alias("_high_seen"),
-        F.max_by("_notes", "p").alias("_all_notes"),
-    )
-    return _settle(placed.select("series", "signal").join(priced, ["series", "signal"], "left"), st)
+        return F.round(F.col("slipped_entry") * num(1 + sign * Decimal(share)), 4).cast(PRICE)
+
+    state = ("stop", "target", "multiple", "notes", "low", "high", "x")
+    start = F.struct(
+        level(st.stop_loss, -1).alias("stop"), level(st.profit_target, 1).alias("target"), F.lit(1).cast(QTY).alias("multiple"),
+        F.array().cast("array<string>").alias("notes"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+        F.lit(None).cast(EXIT).alias("x"))
+
+    def moved(acc: Column, **given: Column) -> Column:
+        return F.struct(*[given.get(name, acc[name]).alias(name) for name in state])
+
+    def effect(acc: Column, e: Column) -> Column:
+        def scaled(lv: Column, f: Column) -> Column:
+            return F.round(lv * f, 4).cast(PRICE)
+
+        return moved(
+            acc, stop=F.aggregate(e["factors"], acc["stop"], scaled), target=F.aggregate(e["factors"], acc["target"], scaled),
+            multiple=F.aggregate(e["factors"], acc["multiple"], lambda q, f: (q / f).cast(QTY)), notes=F.concat(acc["notes"], e["notes"]))
+
+    def bar(acc: Column, e: Column) -> Column:
+        stop, target = acc["stop"], acc["target"]
+        held = (e["p"] <= F.col("path_last")) & e["open"].isNotNull()
+        by_open_stop, by_open_target = e["open"] <= stop, e["open"] >= target
+        by_low, by_high = e["low"] <= stop, e["high"] >= target
+        reason = (
+            F.when(by_open_stop, "STOP_LOSS").when(by_open_target, "PROFIT_TARGET").when(by_low, "STOP_LOSS")
+            .when(by_high, "PROFIT_TARGET"))
+        base = F.when(by_open_stop | by_open_target, e["open"]).when(by_low, stop).when(by_high, target)
+        unclear = F.coalesce(~F.coalesce(by_open_stop, F.lit(False)) & ~F.coalesce(by_open_target, F.lit(False)) & by_low & by_high, F.lit(False))
+
+        def leave(why, price, doubt=None) -> Column:
+            return F.struct(
+                e["p"].alias("p"), e["day"].alias("day"), acc["multiple"].alias("multiple"), acc["notes"].alias("notes"),
+                (F.lit(False) if doubt is None else doubt).alias("unclear"), why.alias("reason"), price.alias("base")).cast(EXIT)
+
+        at_end = F.col("forced") & (e["p"] == F.col("path_last")) & (e["close"] > 0)
+        searched = ~F.col("forced") & (e["p"] >= F.col("scheduled")) & (e["open"] > 0)
+        x = (F.when(held & reason.isNotNull(), leave(reason, base, unclear)).when(at_end, leave(F.lit("FORCED_END_OF_TEST"), e["close"]))
+             .when(searched, leave(F.lit("TIME_EXIT"), e["open"])))
+        quiet, shares = held & reason.isNull(), acc["multiple"].cast("double")
+        return moved(
+            acc, x=x, low=F.when(quiet, F.least(acc["low"], e["low"].cast("double") * shares)).otherwise(acc["low"]),
+            high=F.when(quiet, F.greatest(acc["high"], e["high"].cast("double") * shares)).otherwise(acc["high"]))
+
+    return F.aggregate("_path", start, lambda acc, e: F.when(~e["is_bar"], effect(acc, e)).when(acc["x"].isNotNull(), acc).otherwise(bar(acc, e)))
 
 
 def _settle(priced: DataFrame, st: TradeSettings) -> DataFrame:
@@ -173,10 +192,10 @@ def _settle(priced: DataFrame, st: TradeSettings) -> DataFrame:
     entry = F.col("slipped_entry")
     skip = (
         F.when(F.col("entry").isNull(), "ENTRY_OUTSIDE_TEST_RANGE")
-        .when(F.col("entry_open").isNull() | (F.col("entry_open") <= 0), "ENTRY_PRICE_UNAVAILABLE")
+        .when(F.col("raw_entry").isNull() | (F.col("raw_entry") <= 0), "ENTRY_PRICE_UNAVAILABLE")
         .when(F.col("quantity0") < 1, "INSUFFICIENT_NOTIONAL_FOR_ONE_SHARE")
     )
-    ok = F.when(F.col("entry_open") > 0, entry)
+    ok = F.when(F.col("raw_entry") > 0, entry)
     out = priced.withColumn("quantity0", position_size(ok, st.notional)).withColumn("skip_reason", skip)
     taken = F.col("skip_reason").isNull()
     x = F.col("x")
@@ -188,11 +207,11 @@ def _settle(priced: DataFrame, st: TradeSettings) -> DataFrame:
         F.when(x.isNull(), F.col("path_last") - F.col("entry") + 1)
         .when(x["reason"] == "TIME_EXIT", x["p"] - F.col("entry")).otherwise(x["p"] - F.col("entry") + 1)
     )
-    quantity = (F.col("quantity0").cast("decimal(12,0)") * x["multiple"].cast(QTY)).cast(QTY)
+    quantity = (F.col("quantity0").cast("decimal(20,0)") * x["multiple"].cast(QTY)).cast(QTY)
     out = out.withColumns({
         "exit_session": x["day"],
         "exit_reason": F.when(taken, F.coalesce(x["reason"], F.lit("EXIT_PRICE_UNAVAILABLE"))),
-        "raw_entry": ticks_to_price(F.col("entry_open")), "raw_exit": x["base"],
+        "raw_exit": x["base"],
         "slipped_exit": slipped(x["base"], st.slippage_bps, "SELL"),
         "quantity": F.coalesce(quantity, F.col("quantity0").cast(QTY)),
         "holding_sessions": F.when(taken, held),
@@ -206,8 +225,8 @@ def _settle(priced: DataFrame, st: TradeSettings) -> DataFrame:
             .otherwise(F.array().cast("array<string>")),
         ))),
     })
-    in_turnover = F.when(taken, (entry * F.col("quantity0").cast("decimal(12,0)")).cast("decimal(22,6)"))
-    out_turnover = F.when(taken, (F.col("slipped_exit") * F.col("quantity")).cast("decimal(22,6)"))
+    in_turnover = F.when(taken, (entry * F.col("quantity0").cast("decimal(20,0)")).cast(TURNOVER))
+    out_turnover = F.when(taken, (F.col("slipped_exit") * F.col("quantity")).cast(TURNOVER))
     out = out.withColumns({"entry_turnover": in_turnover, "exit_turnover": out_turnover}).withColumns({
         "entry_cost": F.when(taken, leg_costs(F.col("entry_turnover"), "BUY", st.cost_overrides)),
         "exit_cost": F.when(F.col("exit_turnover").isNotNull(),
@@ -233,30 +252,31 @@ def pnl(trades: DataFrame) -> DataFrame:
     })
 
 
-def _one_at_a_time():
-    blocked_until = None
-    forever = False
-
-    def step(signal, skip_reason, exit_session):
-        nonlocal blocked_until, forever
-        if forever or (blocked_until is not None and signal < blocked_until):
-            return ("ALREADY_OPEN_POSITION",)
-        if skip_reason is not None:
-            return (skip_reason,)
-        if exit_session is None:
-            forever = True
-        blocked_until = exit_session
-        return ("TRADE",)
-
-    return step
-
-
 def no_overlap(priced: DataFrame) -> DataFrame:
-    """Add `decision`: TRADE, or why the setup is skipped; an unclosed trade blocks its series for good."""
-    return ordered_scan(
-        priced, ["series"], ["signal"], ["signal", "skip_reason", "exit_session"],
-        [T.StructField("decision", T.StringType())], _one_at_a_time,
-    )
+    """Add `decision`: TRADE, or why the setup is skipped; an unclosed trade blocks its series for good.
+
+    A series' setups, one a session at most, are gathered on the partitioning they come in and folded in order of their signals.
+    """
+    rest = [c for c in priced.columns if c not in ("series", "signal", "skip_reason", "exit_session")]
+    setup = F.struct("signal", "skip_reason", "exit_session", F.struct(*rest).alias("rest"))
+    start = F.struct(
+        F.lit(None).cast("date").alias("until"), F.lit(False).alias("for_good"), F.array().cast("array<string>").alias("decisions"))
+
+    def step(acc: Column, s: Column) -> Column:
+        blocked = acc["for_good"] | F.coalesce(s["signal"] < acc["until"], F.lit(False))
+        trade = ~blocked & s["skip_reason"].isNull()
+        decision = F.when(blocked, "ALREADY_OPEN_POSITION").otherwise(F.coalesce(s["skip_reason"], F.lit("TRADE")))
+        return F.struct(
+            F.when(trade, s["exit_session"]).otherwise(acc["until"]).alias("until"),
+            (acc["for_good"] | (trade & s["exit_session"].isNull())).alias("for_good"),
+            F.concat(acc["decisions"], F.array(decision)).alias("decisions"))
+
+    decided = priced.groupBy("series").agg(F.sort_array(F.collect_list(setup)).alias("setups")).withColumn(
+        "decisions", F.aggregate("setups", start, step)["decisions"])
+    rows = decided.select("series", F.explode(F.arrays_zip("setups", "decisions")).alias("z"))
+    made = {"series": F.col("series"), **{c: F.col(f"z.setups.{c}") for c in ("signal", "skip_reason", "exit_session")},
+            **{c: F.col(f"z.setups.rest.{c}") for c in rest}}
+    return rows.select(*[made[c].alias(c) for c in priced.columns], F.col("z.decisions").alias("decision"))
 
 
 def label_trades(setups, bars, calendar, actions, settings: TradeSettings) -> DataFrame:

@@ -56,7 +56,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "series", "session", "open", "high", "low", "close", "volume",
         F.when(F.col("volume") % 53 != 0, value).alias("traded_value"), "n",
-    ).repartition("series").sortWithinPartitions("series", "session").persist()
+    )
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

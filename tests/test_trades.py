@@ -105,3 +105,15 @@ def test_composition_history_end_to_end(spark):
     assert stats.total_net_pnl == 11210.71 and stats.average_net_return == 0.00467518
     assert run.costs().first().total_charges == Decimal("5360.69")
     run.release()
+
+
+def test_large_quantities_and_plan(spark):
+    """A notional of a billion billions at small prices; the tape is exchanged once, and nothing leaves the JVM."""
+    paths = {1: {i: (1, 1, 1, 1) for i in range(1, 8)}}
+    first = labelled(spark, paths, acts=(action(1, 1, "STOCK_SPLIT", WEEK[2], 1000, 1, noon(WEEK[0])),), notional="1000000000000000")[1][0]
+    assert first.quantity0 == 10**15 and first.quantity == 10**18 and first.exit_turnover == 10**18 and first.entry_turnover == 10**15
+    frame = label_trades(
+        spark.createDataFrame([(1, WEEK[0])], "series bigint, session date"), spark.createDataFrame([bar(1, WEEK[1], 1, 1, 1, 1)], BAR).alias("tape"),
+        calendar(spark, WEEK), actions(spark, ()), TradeSettings())
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(series") <= 3 and "Python" not in plan and "InArrow" not in plan
