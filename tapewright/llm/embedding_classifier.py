@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import rows, text
+from tapewright.llm import learning, rows, text
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class Settings:
     rate: float = 0.4
     #: Most labelled rows that are learned from.
     sample: int = 4000
+    #: Most bucket numbers and counts that these may have together.
+    sample_features: int = 24_000_000
     seed: int = 11
 
 
@@ -124,8 +126,8 @@ def score_bytes(model: Model, data: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target_col: str, settings: Settings | None = None) -> Model:
-    """Learn from a bounded sample of `labels` (doc_id and the target): at most `settings.sample` rows reach the driver,
-    each as its distinct bucket numbers with counts."""
+    """Learn from a bounded sample of `labels` (doc_id and the target), at most `settings.sample` ids and `settings.sample_features`
+    numbers, in one task; only the model reaches the driver."""
     settings = settings or Settings()
     chosen = rows.bounded_sample(labels, "doc_id", target_col, settings.sample)
     found = rows.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "target", "text")
@@ -137,9 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_col: str, settings: Settings
                 batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in out], pa.binary()),
                 pa.array([c.tobytes() for _, c in out], pa.binary())], names=["doc_id", "target", "ids", "counts"])
 
-    got = found.mapInArrow(count, "doc_id long, target int, ids binary, counts binary").toArrow()
-    got = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
-    return train([(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32), y) for _, y, i, c in got], settings)
+    examples = found.mapInArrow(count, "doc_id long, target int, ids binary, counts binary")
+    return learning.trained(examples, ["ids", "counts"], settings.sample_features, lambda held: train(held, settings))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -48,19 +48,19 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 class Words:
     """Ids of texts by a tokenizer that drops white space, word by word with a bounded memory of words.
 
-    The tokenizer never looks across white space, so a text's ids are those of its words in turn.
+    The tokenizer never looks across white space, so a text's ids are those of its words in turn. Words are remembered in two
+    generations: what was used since the last change stays. Bytes that are no UTF-8 count as U+FFFD. A special token that stands in
+    a text is one id, as in the library's own call.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.before = _tokenizer(path), {}, {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Many words in few calls: they are strung together with a mark between them, whose one id parts their ids.
@@ -74,7 +74,7 @@ class Words:
         out: list[bytes] = [b""] * len(words)
         runs = [strung[at:at + 512] for at in range(0, len(strung), 512)]
         between = f" {MARK} ".encode()
-        found = self.tokenizer.encode_batch_fast([between.join([words[i] for i in run]).decode() for run in runs], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([between.join([words[i] for i in run]).decode(errors="replace") for run in runs], add_special_tokens=False)
         for run, encoding in zip(runs, found, strict=True):
             ids = np.array(encoding.ids, "<u4")
             ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
@@ -85,15 +85,21 @@ class Words:
             for i, end in zip(run, ends, strict=True):
                 out[i] = packed_ids[4 * at:4 * end]
                 at = end + 1
-        for i, encoding in zip(apart, self.tokenizer.encode_batch_fast([words[i].decode() for i in apart], add_special_tokens=False), strict=True):
+        for i, encoding in zip(apart, self.tokenizer.encode_batch_fast([words[i].decode(errors="replace") for i in apart], add_special_tokens=False), strict=True):
             out[i] = np.array(encoding.ids, "<u4").tobytes()
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = [w for w in set().union(*cut) if w not in self.known]
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        fresh = []
+        for w in set().union(*cut):
+            if w not in self.known:
+                if w in self.before:
+                    self.known[w] = self.before[w]
+                else:
+                    fresh.append(w)
         self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import rows, text
+from tapewright.llm import learning, rows, text
 
 #: Everything but ASCII letters, digits and bytes beyond ASCII parts words.
 APART = np.ones(256, bool)
@@ -27,7 +27,8 @@ APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 0.5
+    #: Large, so that words of many documents outrun those that would learn single documents by heart.
+    alpha: float = 3.0
     beta: float = 1.0
     l1: float = 6.0
     l2: float = 0.5
@@ -36,6 +37,8 @@ class Settings:
     distances: tuple[int, ...] = (1, 2)
     #: Most labelled rows that are learned from.
     sample: int = 12000
+    #: Most bucket numbers that these may have together.
+    sample_features: int = 24_000_000
     seed: int = 13
 
 
@@ -109,8 +112,8 @@ def score_bytes(model: Model, table: np.ndarray, data: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target_col: str, settings: Settings | None = None) -> Model:
-    """Learn from a bounded sample of `labels` (doc_id and the target): at most `settings.sample` rows reach the driver,
-    each as its distinct bucket numbers."""
+    """Learn from a bounded sample of `labels` (doc_id and the target), at most `settings.sample` ids and `settings.sample_features`
+    bucket numbers, in one task; only the model reaches the driver."""
     settings = settings or Settings()
     chosen = rows.bounded_sample(labels, "doc_id", target_col, settings.sample)
     found = rows.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "target", "text")
@@ -121,9 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_col: str, settings: Settings
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "target", "ids"])
 
-    got = found.mapInArrow(hashed, "doc_id long, target int, ids binary").toArrow()
-    got = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
-    return train([(np.frombuffer(ids, np.int32), target) for _, target, ids in got], settings)
+    examples = found.mapInArrow(hashed, "doc_id long, target int, ids binary")
+    return learning.trained(examples, ["ids"], settings.sample_features, lambda held: train(held, settings))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

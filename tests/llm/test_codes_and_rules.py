@@ -56,15 +56,24 @@ def test_encoding_and_decoding_of_a_table(spark, tmp_path):
 
 def test_words_are_encoded_as_whole_texts():
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     texts = ODD[2:] + [t or "" for _, t in data.texts()] + ["It's <|endoftext|> ` `x İSTANBUL é ́y \x1c ﬁ ΑΣ"]
     got = packing.Words(WORDS).encode([t.encode() for t in texts])
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens_and_odd_bytes_and_few_remembered(monkeypatch):
+    words = packing.Words(WORDS)
+    assert np.frombuffer(words.encode([b"a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+    assert words.encode([b"a\xff b"]) == words.encode(["a\ufffd b".encode()])
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    texts = [f"w{i % 9} w{i % 4} same w{i}".encode() for i in range(60)]
+    few = packing.Words(WORDS)
+    assert [few.encode([t])[0] for t in texts] == [words.encode([t])[0] for t in texts]
+    assert len(few.known) + len(few.before) <= 6 + 2 * 4
+
+
 def test_words_that_normalise_to_the_mark():
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     texts = ["a \u1fef b", "\u1fef", "x\u1fefy \u1fef\u1fef ` z", " ".join(f"w{i}" for i in range(1500)) + " \u1fef"]
     got = packing.Words(WORDS).encode([t.encode() for t in texts])
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
