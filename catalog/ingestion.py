@@ -344,7 +344,7 @@ def linked(s, p):
 
 def file_facts(s, p):
     ok = linked(s, p).where("link = 'LINKED'").select("file_name", "symbol", "scope", "period_end")
-    return artifacts.xbrl_facts(xml_files(s, p).select("file_name", "content").join(ok, "file_name"))
+    return artifacts.xbrl_facts(xml_files(s, p).select("file_name", "content").join(ok, "file_name"), ("urn:example:facts",))
 
 
 part("lst0", ("filings",), "SELECT *, CAST(filing_id AS VARCHAR) || '.xml' AS file_name FROM filings")

@@ -25,11 +25,8 @@ def dec(s, p):
 
 
 def book(s, p):
-    """Executed trades with the session their share count changes on, if it does."""
-    taken = tr.executed(dec(s, p))
-    changed = F.col("quantity") != F.col("quantity0")
-    day = F.when(F.col("series") % 10 == 0, F.lit("1998-06-08")).otherwise("1997-04-14").cast("date")
-    return taken.withColumn("split_session", F.when(changed, day))
+    """Executed trades with the share counts of their holds."""
+    return pf.with_share_steps(tr.executed(dec(s, p)), tr.hold_effects(src.actions(s, p), src.calendar(s, p)))
 
 
 def out(df, dates=(), doubles=()):
@@ -101,6 +98,31 @@ add("r02_mark_to_market",
     book_sql(f"SELECT portfolio_id, {d('session')}, {dbls('gross')}, open_positions, stale_marks FROM mtm"))
 
 
+def twice(s, p):
+    """The share changes of the data, and each once more a week later."""
+    once = tr.hold_effects(src.actions(s, p), src.calendar(s, p))
+    return once.unionByName(once.withColumn("session", F.date_add("session", 7)))
+
+
+add("r02_marks_over_two_changes",
+    lambda s, p: out(pf.mark_to_market(marks(s, p, pf.with_share_steps(tr.executed(dec(s, p)), twice(s, p)))), ["session"], ["gross"]),
+    book_sql(f"""SELECT portfolio_id, {d('session')}, {dbls('gross')}, open_positions, stale_marks FROM (
+      SELECT portfolio_id, session, CAST(round(sum(value), 2) AS DECIMAL(24,2)) AS gross, count(*) AS open_positions,
+        count(*) FILTER (WHERE stale) AS stale_marks FROM (
+        SELECT portfolio_id, series, signal, session, close IS NULL AS stale,
+          coalesce(last_value(CAST({price('close')} * CAST(quantity0 * multiple AS DECIMAL(18,6)) AS DECIMAL(24,6)) IGNORE NULLS)
+            OVER (PARTITION BY series, signal ORDER BY session ROWS UNBOUNDED PRECEDING),
+            CAST(slipped_entry * CAST(quantity0 AS DECIMAL(12,0)) AS DECIMAL(24,6))) AS value FROM (
+          SELECT b.portfolio_id, b.series, b.signal, b.slipped_entry, b.quantity0, c.session, t.close, coalesce(product(1 / f), 1) AS multiple
+          FROM book b JOIN calendar c ON c.session >= b.entry_session AND c.session <= DATE '{END}'
+            AND (b.exit_session IS NULL OR c.session < b.exit_session)
+          LEFT JOIN bars t ON t.series = b.series AND t.session = c.session AND t.close > 0
+          LEFT JOIN (SELECT e.series, k.session + later AS since, f FROM effects e JOIN cal k USING (idx), (VALUES (0), (7)) v(later) WHERE f IS NOT NULL) e
+            ON e.series = b.series AND e.since > b.entry_session AND e.since <= c.session
+          GROUP BY ALL))
+      GROUP BY 1, 2)"""))
+
+
 def snapshots(s, p):
     b = book(s, p)
     return pf.equity_snapshots(marks(s, p, b), pf.fills(b, CAPITAL, START), b, src.calendar(s, p), CAPITAL, START, END), b

@@ -240,3 +240,12 @@ EQUITY_SERIES = ("EQ",)
 INACTIVE_STATUSES = ("SUSPENDED", "DELISTED", "INACTIVE")
 MAX_VOLUME = 2**63 - 1
 SAMPLE_ISSUES = 200
+
+# --- instance documents: namespaces, supported taxonomies, unit names ------------------------------------------------
+INSTANCE_NAMESPACE = "http://www.xbrl.org/2003/instance"
+DIMENSION_NAMESPACE = "http://xbrl.org/2006/xbrldi"
+FILING_TAXONOMIES = (
+    "http://www.sebi.gov.in/xbrl/2025-01-31/in-capmkt",
+    "http://www.sebi.gov.in/xbrl/2026-01-31/in-capmkt",
+)
+UNIT_CODES = {"INR": "INR", "PURE": "PURE", "INRPERSHARE": "INR_PER_SHARE"}

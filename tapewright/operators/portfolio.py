@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.fixed_values import SESSIONS_PER_YEAR
-from tapewright.functions.numbers import cents, half_up_div, money, r8, units8
+from tapewright.functions.numbers import cents, half_up_div, money, r8, ticks_to_price, units8
 from tapewright.operators.pit import session_list
 from tapewright.operators.ranks import exact_percentiles
+from tapewright.operators.trades import QTY
 
 P = "portfolio_id"
+STEPS = f"array<struct<since:date,quantity:{QTY}>>"
 
 
 def running_in_two_levels(
@@ -69,26 +71,49 @@ def ledger_check(ledger: DataFrame) -> DataFrame:
     ).withColumn("reconciles", F.col("net_total") == F.col("final_balance"))
 
 
+def with_share_steps(trades: DataFrame, effects: DataFrame) -> DataFrame:
+    """Add `share_steps`: from which session a hold has which share count, one step for each session with share changes.
+
+    `effects` are rows of `hold_effects`; those of a series are few and travel as one array. A hold takes those after its
+    entry day, up to its exit day, each on top of the ones before.
+    """
+    listed = effects.where(F.size("factors") > 0).groupBy("series").agg(
+        F.sort_array(F.collect_list(F.struct("session", "factors"))).alias("_effects"))
+    during = F.filter("_effects", lambda e: (e["session"] > F.col("entry_session")) & (
+        F.col("exit_session").isNull() | (e["session"] <= F.col("exit_session"))))
+    start = F.struct(F.lit(1).cast(QTY).alias("multiple"), F.array().cast(STEPS).alias("steps"))
+    own = F.col("quantity0").cast("decimal(20,0)")
+
+    def step(acc: Column, e: Column) -> Column:
+        # the fold's value twice: as the state, and in the step that it makes
+        multiple = F.aggregate(e["factors"], acc["multiple"], lambda q, f: (q / f).cast(QTY))
+        made = F.struct(e["session"].alias("since"), (own * multiple).cast(QTY).alias("quantity"))
+        return F.struct(multiple.alias("multiple"), F.concat(acc["steps"], F.array(made)).alias("steps"))
+
+    return trades.join(listed, "series", "left").withColumn(
+        "share_steps", F.coalesce(F.aggregate(during, start, step)["steps"], F.array().cast(STEPS))).drop("_effects")
+
+
 def mark_positions(trades: DataFrame, bars: DataFrame, calendar: DataFrame, end, exchange: str | None = None) -> DataFrame:
     """Value of every open position at every close, entry day included and exit day not.
 
-    A day without a close keeps the last value and counts as stale; a split changes price and quantity by inverse
-    factors, so carrying the value carries the scaled mark. `quantity_on` is the share count of the day.
+    A day without a close keeps the last value and counts as stale; a share change moves price and quantity by inverse
+    factors, so carrying the value carries the scaled mark. The share count of a day is that of the last of the trade's
+    `share_steps` by then.
     """
     days = session_list(calendar, None, end, exchange)
     last = F.coalesce(F.col("exit_session"), F.date_add(F.lit(end).cast("date"), 1))
     held = trades.withColumn("_days", days).select(
-        P, "series", "signal", "quantity0", "quantity", "slipped_entry", "entry_session", "split_session",
+        P, "series", "signal", "quantity0", "slipped_entry", "share_steps",
         F.explode(F.filter("_days", lambda x: (x >= F.col("entry_session")) & (x < last))).alias("session"))
-    quantity = F.when(F.col("split_session").isNotNull() & (F.col("session") >= F.col("split_session")),
-                      F.col("quantity")).otherwise(F.col("quantity0").cast("decimal(18,6)"))
+    by_then = F.filter("share_steps", lambda s: s["since"] <= F.col("session"))
+    quantity = F.coalesce(F.try_element_at(by_then, F.lit(-1))["quantity"], F.col("quantity0").cast(QTY))
     tape = bars.where(F.col("close") > 0).select("series", "session", F.col("close").alias("_close"))
     rows = held.join(tape, ["series", "session"], "left")
-    fresh = (F.col("_close").cast("decimal(14,0)") * F.lit("0.0001").cast("decimal(5,4)") * quantity).cast(
-        "decimal(24,6)")
+    fresh = (ticks_to_price(F.col("_close")) * quantity).cast("decimal(32,6)")
     w = Window.partitionBy(P, "series", "signal").orderBy("session")  # one holding period of one portfolio
     carried = F.last(fresh, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    at_entry = (F.col("slipped_entry") * F.col("quantity0").cast("decimal(19,0)")).cast("decimal(24,6)")
+    at_entry = (F.col("slipped_entry") * F.col("quantity0").cast("decimal(20,0)")).cast("decimal(32,6)")
     return rows.select(
         P, "series", "signal", "session", F.coalesce(carried, at_entry).alias("value"),
         F.col("_close").isNull().alias("stale"))

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.fixed_values import HEADERS, OPTIONAL_HEADERS, QUARTER_DAYS
+from tapewright.functions.fixed_values import FILING_TAXONOMIES, HEADERS, OPTIONAL_HEADERS, QUARTER_DAYS, UNIT_CODES
 from tapewright.functions.parsing import fold_header
+from tapewright.sources.instances import read_instances
 
 
 #: Lines of an archive that are handed on at once.
@@ -154,32 +155,7 @@ def link_listing_to_files(listing: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("link", link).drop("_n", "_has")
 
 
-INSTANCE_NAMESPACE = "http://www.xbrl.org/2003/instance"
 CONTEXT_NAMES = ("OneD", "FourD", "OneI")
-#: One element with its attributes and text; prefixes are whatever the file chose.
-CONTEXT_PATTERN = r'(?s)<(?:[\w.-]+:)?context\s[^>]*?id="([^"]*)"[^>]*>(.*?)</(?:[\w.-]+:)?context>'
-FACT_PATTERN = r'<(?:[\w.-]+:)?([\w.-]+)(\s[^<>]*?contextRef="[^"]*"[^<>]*)>([^<]*)</'
-ROOT_PATTERN = r"(?s)^\s*(?:<\?xml[^>]*\?>)?\s*(?:<!--.*?-->\s*)*<((?:[\w.-]+:)?xbrl)[\s>].*</\1>\s*$"
-FACT = "decimal(38,8)"
-
-
-def _attribute(text: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf'\b{name}="([^"]*)"', 1), F.lit(""))
-
-
-def _element_date(body: Column, name: str) -> Column:
-    return F.try_to_date(F.nullif(F.regexp_extract(body, rf"<(?:[\w.-]+:)?{name}>\s*([^<\s]*)\s*<", 1), F.lit("")), "yyyy-MM-dd")
-
-
-def _contexts(text: Column) -> Column:
-    """Contexts of a document: name, start and end (an instant has no start), and whether they carry a dimension."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(CONTEXT_PATTERN), F.lit(1)).alias("name"),
-                         F.regexp_extract_all(text, F.lit(CONTEXT_PATTERN), F.lit(2)).alias("body"))
-    return F.transform(pairs, lambda c: F.struct(
-        c["name"].alias("name"), _element_date(c["body"], "startDate").alias("start"),
-        F.coalesce(_element_date(c["body"], "instant"), _element_date(c["body"], "endDate")).alias("end"),
-        _element_date(c["body"], "instant").isNotNull().alias("at_once"),
-        (c["body"].contains("explicitMember") | c["body"].contains("typedMember")).alias("sliced")))
 
 
 def _told(facts: str, name: str) -> Column:
@@ -188,50 +164,56 @@ def _told(facts: str, name: str) -> Column:
     return F.upper(F.trim(F.try_element_at(hit, F.lit(-1))["text"]))
 
 
-def xbrl_facts(linked_files: DataFrame) -> DataFrame:
+def unit_code(unit: Column) -> Column:
+    """Canonical code of a unit's name, in capitals and at most 32 characters where it has none."""
+    folded = F.upper(F.replace(unit, F.lit("_"), F.lit("")))
+    named = F.create_map(*[F.lit(x) for pair in UNIT_CODES.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, folded), F.substring(F.upper(unit), 1, 32))
+
+
+def _day(text: Column) -> Column:
+    return F.try_to_date(F.nullif(text, F.lit("")), "yyyy-MM-dd")
+
+
+def xbrl_facts(linked_files: DataFrame, taxonomies: Iterable[str] = FILING_TAXONOMIES) -> DataFrame:
     """Numeric facts of linked files (file_name, content, symbol, scope, period_end); a refused file gives one error row.
 
-    A filing is one row, read and checked with column expressions, without a shuffle.
-    Amounts are compared as decimals: an equal repetition is dropped, a different one refuses the file. What is no finite
-    decimal (NaN and infinities included) is malformed.
+    A filing is one row, tokenized by `read_instances` and checked with column expressions, without a shuffle.
+    Amounts are compared as decimals of any scale: an equal repetition is dropped, a different one refuses the file. What is no
+    finite decimal (NaN and infinities included) is malformed. Numeric facts have to belong to one of `taxonomies`.
     """
-    text = F.decode("content", "UTF-8")
-    read = linked_files.select("file_name", "symbol", "scope", "period_end", text.alias("_text")).withColumns({
-        "_contexts": _contexts(F.col("_text")),
-        "_all": F.transform(F.arrays_zip(*[
-            F.regexp_extract_all("_text", F.lit(FACT_PATTERN), F.lit(i)).alias(n) for i, n in ((1, "concept"), (2, "with"), (3, "text"))]),
-            lambda f: F.struct(f["concept"].alias("concept"), _attribute(f["with"], "contextRef").alias("context"),
-                               _attribute(f["with"], "unitRef").alias("unit"), F.trim(f["text"]).alias("text")))})
+    read = read_instances(linked_files.select("file_name", "symbol", "scope", "period_end", "content")).withColumns({
+        "_contexts": F.transform("contexts", lambda c: F.struct(
+            c["name"].alias("name"), _day(c["start"]).alias("start"), F.coalesce(_day(c["instant"]), _day(c["end"])).alias("end"),
+            F.coalesce(c["instant"] != "", F.lit(False)).alias("at_once"), c["sliced"].alias("sliced"), c["has_period"].alias("has_period"))),
+        "_units": F.map_from_entries(F.filter(F.transform("units", lambda u: F.struct(u["name"], u["measure"])), lambda u: u["name"] != ""))})
     days = lambda c: F.date_diff(c["end"], c["start"]) + 1
     quarter_long = lambda c: days(c).between(*QUARTER_DAYS)
     usable = F.filter("_contexts", lambda c: c["name"].isin(*CONTEXT_NAMES) & ~c["sliced"] & (c["end"] == F.col("period_end")))
     read = read.withColumns({"_usable": usable, "_month": F.month("period_end")})
     read = read.withColumn("_own", F.transform(
-        F.filter("_all", lambda f: F.exists("_usable", lambda c: c["name"] == f["context"])),
+        F.filter("facts", lambda f: F.exists("_usable", lambda c: c["name"] == f["context"])),
         lambda f: F.struct("file_name", f.alias("f"), F.element_at(F.filter("_usable", lambda c: c["name"] == f["context"]), 1).alias("c"))))
     read = read.withColumn("_told", F.transform("_own", lambda o: o["f"]))
     numeric = F.filter("_own", lambda o: o["f"]["unit"].isNotNull())
-    amount = lambda o: F.regexp_replace(o["f"]["text"], ",", "").try_cast(FACT)
     main = F.exists("_usable", lambda c: (c["name"] == "OneD") & c["start"].isNotNull() & ~c["at_once"] & quarter_long(c))
     isin = F.coalesce(_told("_told", "ISIN"), F.lit(""))
-    lower = F.lower("_text")
-    refused = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(why)) for bad, why in (
-        (lower.contains("<!doctype") | lower.contains("<!entity"), "DTD or entity declarations are not permitted"),
-        (~F.col("_text").rlike(ROOT_PATTERN) | ~F.col("_text").contains(INSTANCE_NAMESPACE), "not a complete instance document"),
-        (F.exists("_contexts", lambda c: (c["name"] == "") | c["end"].isNull() | (c["start"].isNull() & ~c["at_once"]))
-         | (F.size(F.array_distinct(F.transform("_contexts", lambda c: c["name"]))) < F.size("_contexts")), "context is incomplete or repeated"),
+    unnamed = F.exists("_contexts", lambda c: (c["name"] == "") | ~c["has_period"] | c["end"].isNull() | (c["start"].isNull() & ~c["at_once"]))
+    refused = F.coalesce(F.col("problem"), *[F.when(F.coalesce(bad, F.lit(True)), F.lit(why)) for bad, why in (
+        (unnamed | (F.size(F.array_distinct(F.transform("_contexts", lambda c: c["name"]))) < F.size("_contexts")), "context is incomplete or repeated"),
         (~main, "no verified OneD quarterly context"),
+        (F.exists(numeric, lambda o: ~o["f"]["namespace"].isin(*taxonomies)), "taxonomy is not supported"),
         (F.coalesce(_told("_told", "Symbol"), F.lit("")) != F.col("symbol"), "symbol does not match the listing"),
         (~isin.rlike("^[A-Z0-9]{12}$"), "ISIN is malformed"),
         (F.coalesce(_told("_told", "NatureOfReportStandaloneConsolidated"), F.lit("")) != F.col("scope"), "scope does not match the listing"),
         (F.col("_month") % 3 != 0, "period is no fiscal quarter end"),
-        (F.exists(numeric, lambda o: amount(o).isNull()), "numeric fact is malformed"),
+        (F.exists(numeric, lambda o: o["f"]["amount"].isNull()), "numeric fact is malformed"),
         (F.size(numeric) == 0, "no eligible numeric facts"))])
-    read = read.select("file_name", "period_end", "_month", isin.alias("isin"), refused.alias("error"), numeric.alias("_numeric"))
+    read = read.select("file_name", "period_end", "_month", isin.alias("isin"), refused.alias("error"), numeric.alias("_numeric"), "_units")
     # Equal facts stand together once sorted, the first in the file first.
     ordered = F.sort_array(F.transform("_numeric", lambda o, i: F.struct(
         F.struct(F.lower(o["f"]["concept"]), F.when(o["c"]["at_once"], o["c"]["end"]).otherwise(o["c"]["start"]), o["c"]["end"]).alias("key"), i.alias("at"),
-        amount(o).alias("amount"), o["f"].alias("f"), F.regexp_replace(o["f"]["text"], ",", "").alias("value"), o["c"].alias("c"))))
+        o["f"]["amount"].alias("amount"), o["f"].alias("f"), F.regexp_replace(o["f"]["text"], ",", "").alias("value"), o["c"].alias("c"))))
     read = read.withColumn("_ordered", ordered)
 
     def repeats(f, i):
@@ -239,17 +221,18 @@ def xbrl_facts(linked_files: DataFrame) -> DataFrame:
 
     clash = F.filter("_ordered", lambda f, i: repeats(f, i) & (F.get("_ordered", i - 1)["amount"] != f["amount"]))
     read = read.select(
-        "file_name", "period_end", "_month", "isin", F.coalesce("error", F.when(F.size(clash) > 0, "conflicting duplicate fact")).alias("error"),
+        "file_name", "period_end", "_month", "isin", "_units", F.coalesce("error", F.when(F.size(clash) > 0, "conflicting duplicate fact")).alias("error"),
         F.filter("_ordered", lambda f, i: ~repeats(f, i)).alias("_facts"))
     # A refused file explodes to one row without a fact.
-    rows = read.select("file_name", "error", "period_end", "_month", "isin", F.explode_outer(F.when(F.col("error").isNull(), F.col("_facts"))).alias("o"))
+    rows = read.select("file_name", "error", "period_end", "_month", "isin", "_units", F.explode_outer(F.when(F.col("error").isNull(), F.col("_facts"))).alias("o"))
     length = days(F.col("o.c"))
     span = F.when(F.col("o.c.at_once"), "INSTANT").when(length.between(*QUARTER_DAYS), "QUARTERLY").when(length.between(340, 380), "ANNUAL").otherwise("YTD")
     last_quarter = F.col("_month") == 3
     there = lambda c: F.when(F.col("error").isNull(), c)
     return rows.select(
         "file_name", "error", there(F.col("isin")).alias("isin"), F.col("o.f.concept").alias("concept"), F.col("o.value").alias("value"),
-        F.col("o.f.unit").alias("unit"), F.col("o.f.context").alias("context"), there(span).alias("nature"),
+        unit_code(F.col("o.f.unit")).alias("unit"), F.coalesce(F.try_element_at("_units", F.col("o.f.unit")), F.col("o.f.unit")).alias("source_unit"),
+        F.col("o.f.decimals").alias("decimals"), F.col("o.f.namespace").alias("namespace"), F.col("o.f.context").alias("context"), there(span).alias("nature"),
         there(F.when(F.col("o.c.at_once"), "INSTANT").otherwise("DURATION")).alias("fact_kind"),
         F.when(F.col("o.c.at_once"), F.col("o.c.end")).otherwise(F.col("o.c.start")).alias("fact_start"), F.col("o.c.end").alias("fact_end"),
         there(F.year("period_end") + F.when(last_quarter, 0).otherwise(1)).alias("fiscal_year"),

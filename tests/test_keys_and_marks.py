@@ -7,7 +7,7 @@ import pytest
 
 from tapewright.operators import merge
 from tapewright.operators.pit import members_by_session
-from tapewright.operators.portfolio import mark_positions
+from tapewright.operators.portfolio import STEPS, mark_positions, with_share_steps
 from tapewright.plans.scan import ranked_matches
 from tapewright.session import checkpoint_folder
 
@@ -48,15 +48,35 @@ def test_equal_actions_are_not_collapsed(spark):
 
 def test_portfolios_that_share_a_setup_are_marked_apart(spark):
     trades = spark.createDataFrame(
-        [("A", 1, DAY, 10, Decimal(10), Decimal(100), DAY, None, None), ("B", 1, DAY, 1, Decimal(1), Decimal(100), DAY, None, None)],
+        [("A", 1, DAY, 10, Decimal(10), Decimal(100), DAY, None, []), ("B", 1, DAY, 1, Decimal(1), Decimal(100), DAY, None, [])],
         "portfolio_id string, series bigint, signal date, quantity0 bigint, quantity decimal(18,6), slipped_entry decimal(18,4), entry_session date, "
-        "exit_session date, split_session date")
+        "exit_session date, share_steps " + STEPS)
     bars = spark.createDataFrame([(1, DAY, 1_000_000)], "series bigint, session date, close bigint")
     cal = spark.createDataFrame([("X", date(2025, 1, d), True) for d in (2, 3)], CAL)
     got = {(r.portfolio_id, r.session.day): (float(r.value), r.stale) for r in mark_positions(trades, bars, cal, "2025-01-03").collect()}
     assert got == {("A", 2): (1000.0, False), ("A", 3): (1000.0, True), ("B", 2): (100.0, False), ("B", 3): (100.0, True)}
 
 
+def test_share_changes_of_a_hold_add_up(spark):
+    """Three changes: on the entry day (too early), twice inside on two days, one of them double, and one after the exit."""
+    day = lambda d: date(2025, 1, d)
+    trades = spark.createDataFrame(
+        [("A", 1, day(1), 10, Decimal(10), Decimal(90), day(2), day(8), "x"), ("A", 2, day(1), 3, Decimal(3), Decimal(90), day(2), None, "y")],
+        "portfolio_id string, series bigint, signal date, quantity0 bigint, quantity decimal(18,6), slipped_entry decimal(18,4), entry_session date, "
+        "exit_session date, factors string")
+    half, third = Decimal("0.5"), Decimal("0.333333333333333333")
+    effects = spark.createDataFrame(
+        [(1, day(2), [half]), (1, day(4), [half]), (1, day(6), [half, third]), (1, day(9), [half]), (2, day(3), []), (3, day(4), [half])],
+        "series bigint, session date, factors array<decimal(19,18)>")
+    held = with_share_steps(trades, effects)
+    steps = {r.series: [(x.since.day, float(x.quantity)) for x in r.share_steps] for r in held.collect()}
+    assert steps == {1: [(4, 20.0), (6, 120.0)], 2: []}
+    bars = spark.createDataFrame([(1, day(d), 10_000 * d) for d in (3, 4, 6, 7)], "series bigint, session date, close bigint")
+    cal = spark.createDataFrame([("X", day(d), True) for d in range(2, 11)], CAL)
+    got = {r.session.day: (float(r.value), r.stale) for r in mark_positions(held, bars, cal, "2025-01-10").where("series = 1").collect()}
+    assert got == {2: (900.0, True), 3: (30.0, False), 4: (80.0, False), 5: (80.0, True), 6: (720.0, False), 7: (840.0, False)}
+
+
 def test_sessions_of_exchanges_are_kept_apart(spark):
     cal = spark.createDataFrame([("X", DAY, False), ("Y", DAY, True), ("X", date(2025, 1, 3), True)], CAL)
     members = spark.createDataFrame([("I", 1, DAY, None)], "index_id string, series bigint, valid_from date, valid_to date")

@@ -68,7 +68,8 @@ def test_xbrl(spark):
             "long": instance(value="1234567890123456789", twice="1234567890123456788"), "other": instance().replace("2003/instance", "2003/else")}
     df = spark.createDataFrame([(n, bytearray(t.encode()), "ABC", "CONSOLIDATED", date(2024, 12, 31)) for n, t in docs.items()],
                                "file_name string, content binary, symbol string, scope string, period_end date")
-    out = artifacts.xbrl_facts(df).collect()
+    out = artifacts.xbrl_facts(df, ["urn:t"]).collect()
+    assert {r.error for r in artifacts.xbrl_facts(df.where("file_name = 'ok'")).collect()} == {"taxonomy is not supported"}
     errors = {r.file_name for r in out if r.error}
     assert errors == {"clash", "who", "dtd", "cut", "nan", "long", "other"}
     ok = {r.nature: r for r in out if r.file_name == "ok"}
@@ -76,6 +77,58 @@ def test_xbrl(spark):
     assert sum(r.file_name == "same" for r in out) == 2
 
 
+def facts_of(spark, text):
+    content = text if isinstance(text, bytes) else text.encode()
+    df = spark.createDataFrame([("f", bytearray(content), "ABC", "CONSOLIDATED", date(2024, 12, 31))],
+                               "file_name string, content binary, symbol string, scope string, period_end date")
+    return artifacts.xbrl_facts(df, ["urn:t"]).collect()
+
+
+FACT = '<t:Revenue contextRef="OneD" unitRef="INR">5</t:Revenue>'
+
+
+@pytest.mark.parametrize("change", [
+    lambda t: t.replace("</xbrl>", '<!-- <t:Ghost contextRef="OneD" unitRef="INR">999</t:Ghost> --></xbrl>'),
+    lambda t: t.replace('"', "'"),
+    lambda t: t.replace(">5<", "><![CDATA[5]]><"),
+    lambda t: t.replace(">5<", "> &#53;<!-- five --> <"),
+    lambda t: t.replace("<t:", "<other:").replace("</t:", "</other:").replace("xmlns:t", "xmlns:other"),
+    lambda t: "<?xml version='1.0' encoding='UTF-16'?>" + t,
+    lambda t: "\n<!-- a note -->" + t + "\n",
+    lambda t: t.replace("</xbrl>", '<t:Group><t:Inner contextRef="OneD" unitRef="INR">7</t:Inner></t:Group></xbrl>'),
+    lambda t: t.replace("</xbrl>", '<t:Cost contextRef="Sliced" unitRef="INR">7</t:Cost><context id="Sliced"><entity><segment><d:explicitMember xmlns:d="http://xbrl.org/2006/xbrldi" '
+                        'dimension="x">y</d:explicitMember></segment></entity><period><instant>2024-12-31</instant></period></context></xbrl>'),
+])
+def test_spellings_of_one_instance(spark, change):
+    text = change(instance())
+    got = facts_of(spark, text.encode("utf-16") if "UTF-16" in text else text)
+    assert [(r.error, r.concept, r.value, r.nature) for r in sorted(got, key=lambda r: r.value)] == [
+        (None, "Revenue", "15", "YTD"), (None, "Revenue", "5", "QUARTERLY")]
+
+
+@pytest.mark.parametrize("change,error", [
+    (lambda t: t.replace('<xbrl xmlns="http://www.xbrl.org/2003/instance"', '<xbrl xmlns="urn:else" note="http://www.xbrl.org/2003/instance"'), "not a complete instance document"),
+    (lambda t: t.replace("</xbrl>", "</xbrl><more/>"), "not a complete instance document"),
+    (lambda t: t.replace("</xbrl>", FACT.replace(">5<", ">5.0000000000000000001<") + "</xbrl>"), "conflicting duplicate fact"),
+    (lambda t: t.replace("</xbrl>", '<n:Cost xmlns:n="urn:new" contextRef="OneD" unitRef="INR">7</n:Cost></xbrl>'), "taxonomy is not supported"),
+    (lambda t: t.replace("</xbrl>", '<context id="Bare"/></xbrl>'), "context is incomplete or repeated"),
+    (lambda t: t.replace("</xbrl>", '<context id="OneD"><period><instant>2024-12-31</instant></period></context></xbrl>'), "context is incomplete or repeated"),
+    (lambda t: t.replace(">5<", ">five<"), "numeric fact is malformed"),
+])
+def test_instances_that_are_refused(spark, change, error):
+    assert [(r.error, r.concept) for r in facts_of(spark, change(instance()))] == [(error, None)]
+
+
+def test_units_decimals_and_equal_amounts(spark):
+    unit = ('<unit id="INR_PerShare"><divide><unitNumerator><measure>iso:INR</measure></unitNumerator><unitDenominator><measure>shares</measure>'
+            '</unitDenominator></divide></unit>')
+    more = ''.join(f'<t:Eps contextRef="OneD" unitRef="INR_PerShare" decimals="2">{v}</t:Eps>' for v in ("1,200.50", "1200.5", "12005e-1"))
+    got = {r.concept: r for r in facts_of(spark, instance().replace("</xbrl>", unit + more + "</xbrl>")) if r.nature == "QUARTERLY"}
+    assert set(got) == {"Revenue", "Eps"}
+    assert (got["Eps"].unit, got["Eps"].source_unit, got["Eps"].decimals, got["Eps"].namespace) == ("INR_PER_SHARE", "iso:INR / shares", "2", "urn:t")
+    assert (got["Revenue"].unit, got["Revenue"].source_unit, got["Revenue"].decimals) == ("INR", "INR", "")
+
+
 TAPE = ("series bigint, session date, open bigint, high bigint, low bigint, close bigint, volume bigint, traded_value decimal(24,2)")
 
 
