@@ -542,6 +542,11 @@ def groups(s, p):
 
 
 def filing_merge(s, p):
+    """What is stored alone counts as a predecessor."""
+    return merge.merge_filings(*filing_sides(s, p), in_batch=False)
+
+
+def filing_sides(s, p):
     """Stored: the originals of the first years, of which one in nine has other content."""
     g = groups(s, p)
     k = F.col("source_filing_id").cast("bigint")
@@ -550,7 +555,23 @@ def filing_merge(s, p):
     revised = g.where("fiscal_year < 1997 AND supersedes_source_filing_id IS NOT NULL").select(
         "symbol", F.concat(F.lit("R"), "source_filing_id").alias("source_filing_id"), F.lit("r").alias("fingerprint"), "supersedes_source_filing_id")
     sec = g.select("symbol", "isin").distinct().where("symbol <> 'E4'")
-    return merge.merge_filings(g, stored.unionByName(revised), sec)
+    return g, stored.unionByName(revised), sec
+
+
+def revised_batch(s, p):
+    """Every revision of the batch once more as a rival, later in the batch, and revised itself (two generations)."""
+    g, stored, sec = filing_sides(s, p)
+    again = g.where("supersedes_source_filing_id IS NOT NULL")
+
+    def like(suffix, old, step):
+        return again.withColumns({
+            "supersedes_source_filing_id": old, "source_filing_id": F.concat("source_filing_id", F.lit(suffix)), "fingerprint": F.concat("fingerprint", F.lit(suffix)),
+            "place": F.struct(F.col("place.artifact_id").alias("artifact_id"), (F.col("place.row_no") + step * 10**12).alias("row_no"))})
+
+    more = [like("F", F.col("supersedes_source_filing_id"), 1), like("G", F.col("source_filing_id"), 2), like("H", F.concat("source_filing_id", F.lit("G")), 3)]
+    for part_ in more:
+        g = g.unionByName(part_)
+    return merge.merge_filings(g, stored, sec)
 
 
 part("fgroups", ("fact_rows",), """
@@ -567,6 +588,27 @@ add("i23_merge_filings",
     lambda s, p: filing_merge(s, p).select("source_filing_id", "facts", "action", "code"),
     sql("""SELECT source_filing_id, facts, CASE WHEN code IS NULL THEN 'INSERT' WHEN code = 'same' THEN 'UNCHANGED' WHEN code IN ('SUPERSEDED_FILING_NOT_FOUND',
         'FUNDAMENTAL_SECURITY_IDENTITY_UNRESOLVED') THEN 'REJECT' ELSE 'CONFLICT' END AS action, nullif(code, 'same') AS code FROM fmerge""", "fmerge"))
+part("chained", ("fgroups",), """
+  WITH own AS (
+    SELECT CAST(fid AS VARCHAR) AS id, facts, entity, inconsistent, fiscal_year, CAST(supersedes_id AS VARCHAR) AS up, 0 AS step, fid FROM fgroups
+    UNION ALL SELECT fid || v.suffix, facts, entity, inconsistent, fiscal_year, CASE suffix WHEN 'F' THEN CAST(supersedes_id AS VARCHAR) WHEN 'G' THEN CAST(fid AS VARCHAR)
+      ELSE fid || 'G' END, step, fid FROM fgroups, (VALUES ('F', 1), ('G', 2), ('H', 3)) v(suffix, step) WHERE supersedes_id IS NOT NULL),
+  flagged AS (SELECT *, entity = 4 AS lost, fiscal_year < 1999 AND up IS NULL AS stored, fiscal_year < 1999 AND up IS NULL AND fid % 9 <> 2 AS same,
+      fiscal_year < 1997 AND up IS NOT NULL AND step < 2 AS taken FROM own),
+  d0 AS (SELECT f.*, p.stored AS up_stored, p.id IS NOT NULL AND NOT p.stored AND NOT p.lost AND NOT p.inconsistent AND p.up IS NULL AS up_fresh,
+      row_number() OVER (PARTITION BY f.up, NOT f.lost AND NOT f.inconsistent AND NOT f.taken ORDER BY f.step) > 1 AND NOT f.lost AND NOT f.inconsistent AND NOT f.taken AS beaten
+    FROM flagged f LEFT JOIN flagged p ON p.id = f.up),
+  d1 AS (SELECT *, NOT lost AND NOT inconsistent AND NOT taken AND NOT beaten AND (up_stored OR up_fresh) AS in1 FROM d0 WHERE up IS NOT NULL AND step < 2),
+  d2 AS (SELECT g.id, r.in1 AS found FROM d0 g JOIN d1 r ON r.id = g.up WHERE g.step = 2),
+  d3 AS (SELECT h.id, d2.found AND NOT g.lost AND NOT g.inconsistent AS found FROM d0 h JOIN d0 g ON g.id = h.up JOIN d2 ON d2.id = g.id WHERE h.step = 3)
+  SELECT d0.id, facts, CASE WHEN lost THEN 'FUNDAMENTAL_SECURITY_IDENTITY_UNRESOLVED' WHEN inconsistent THEN 'INCONSISTENT_FILING_METADATA' WHEN same THEN 'same'
+    WHEN d0.up IS NOT NULL AND NOT coalesce(CASE WHEN step < 2 THEN up_stored OR up_fresh END, d2.found, d3.found, false) THEN 'SUPERSEDED_FILING_NOT_FOUND'
+    WHEN taken OR (d0.up IS NOT NULL AND beaten) THEN 'FILING_REVISION_CONFLICT' WHEN stored THEN 'FILING_CONTENT_CONFLICT' END AS code
+  FROM d0 LEFT JOIN d2 ON d2.id = d0.id LEFT JOIN d3 ON d3.id = d0.id""")
+add("i23_revisions_in_one_batch",
+    lambda s, p: revised_batch(s, p).select("source_filing_id", "facts", "action", "code"),
+    sql("""SELECT id AS source_filing_id, facts, CASE WHEN code IS NULL THEN 'INSERT' WHEN code = 'same' THEN 'UNCHANGED' WHEN code IN ('SUPERSEDED_FILING_NOT_FOUND',
+        'FUNDAMENTAL_SECURITY_IDENTITY_UNRESOLVED') THEN 'REJECT' ELSE 'CONFLICT' END AS action, nullif(code, 'same') AS code FROM chained""", "chained"))
 add("i23_unmapped_concepts",
     lambda s, p: merge.unmapped_concepts(norm_facts(s, p)),
     sql("""SELECT source_concept, count(*) AS facts FROM fact_rows WHERE NOT (k % 19 = 3 OR k % 23 = 4 OR k % 13 = 5 OR k % 11 = 6)
@@ -584,6 +626,20 @@ add("i24_merge_classification",
         ELSE 'UNCHANGED' END AS action, CASE WHEN series % 16 = 2 THEN 'CLASSIFICATION_SECURITY_IDENTITY_UNRESOLVED' WHEN series % 4 <> 1 AND series % 12 = 6
         THEN 'CLASSIFICATION_SNAPSHOT_CONFLICT' END AS code, {MAP_SQL} AS benchmark FROM classifications""", "classifications"))
 
+def classes_twice(s, p):
+    """Every row comes twice in the batch, one in five with another industry the second time."""
+    rows = src.classifications(s, p).withColumn("row_no", F.lit(1))
+    changed = F.when(F.col("series") % 5 == 2, "Changed").otherwise(F.col("industry"))
+    stored = src.classifications(s, p).where("series % 4 <> 1")
+    return merge.merge_classification(rows.unionByName(rows.withColumns({"row_no": F.lit(2), "industry": changed})), stored, src.securities(s, p).where("series % 16 <> 2"), MAP)
+
+
+add("i24_classification_twice_in_one_batch",
+    lambda s, p: texted(classes_twice(s, p).select("series", "snapshot_date", "row_no", "action", "code"), "snapshot_date"),
+    sql(f"""SELECT series, {d('snapshot_date')}, row_no, CASE WHEN series % 16 = 2 THEN 'REJECT' WHEN series % 5 = 2 AND row_no = 2 THEN 'CONFLICT'
+        WHEN series % 4 = 1 AND row_no = 1 THEN 'INSERT' ELSE 'UNCHANGED' END AS action, CASE WHEN series % 16 = 2 THEN 'CLASSIFICATION_SECURITY_IDENTITY_UNRESOLVED'
+        WHEN series % 5 = 2 AND row_no = 2 THEN 'CLASSIFICATION_SNAPSHOT_CONFLICT' END AS code FROM classifications, (VALUES (1), (2)) v(row_no)""", "classifications"))
+
 # --- I25-I29 -------------------------------------------------------------------------------------------------------------------
 add("i25_artifact_identity",
     lambda s, p: merge.artifact_identity(src.artifact_log(s, p).select("artifact_id", "provider", "artifact_type", "source_date", "sha256"),

@@ -47,32 +47,36 @@ def dedupe_first_in_file(df: DataFrame, keys: Sequence[str], code: str, message:
 def dedupe_two_keys(df: DataFrame, first: tuple, second: tuple) -> DataFrame:
     """As a pass in file order that keeps a row unless an earlier *kept* row has its first or its second key.
 
-    Rounds: rows that come first in both their keys are kept, rows that share a key with a kept row are rejected,
-    and the rest go to the next round (needed only when duplicates overlap crosswise).
+    Rounds on the keys alone: rows that come first in both their keys are kept, rows that share a key with a kept row are
+    out, and the rest go to the next round (needed only when duplicates overlap crosswise). A row that is out gets the code of
+    the first key if the row kept for that key came before it, else that of the second.
     """
     (key_a, code_a, text_a), (key_b, code_b, text_b) = first, second
-    bad, pending = df.where("issue IS NOT NULL"), df.where("issue IS NULL")
-    done = [bad]
+    place = ["artifact_id", "row_no"]
+    a, b = F.struct(*key_a).alias("_a"), F.struct(*key_b).alias("_b")
+    pending, kept = df.where("issue IS NULL").select(*place, a, b), []
     while True:
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
-        for name, key in (("_a", key_a), ("_b", key_b)):
-            firsts = pending.groupBy("artifact_id", *key).agg(F.min("row_no").alias(name))
-            pending = pending.join(firsts, ["artifact_id", *key])
-        marked = cut_lineage(pending)
-        kept = marked.where((F.col("row_no") == F.col("_a")) & (F.col("row_no") == F.col("_b")))
-        rest = marked.where((F.col("row_no") != F.col("_a")) | (F.col("row_no") != F.col("_b"))).drop("_a", "_b")
-        for name, key in (("_ka", key_a), ("_kb", key_b)):
-            rest = rest.join(kept.select("artifact_id", *key, F.lit(True).alias(name)), ["artifact_id", *key], "left")
-        issue = F.when(F.col("_ka"), _issue("ERROR", code_a, text_a)).when(F.col("_kb"), _issue("ERROR", code_b, text_b))
-        rest = rest.withColumn("issue", issue)
-        done += [kept.select(*df.columns), rest.where("issue IS NOT NULL").select(*df.columns)]
-        pending = rest.where("issue IS NULL").select(*df.columns)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        marked = pending
+        for key in ("_a", "_b"):
+            marked = marked.join(pending.groupBy("artifact_id", key).agg(F.min("row_no").alias(f"{key}1")), ["artifact_id", key])
+        now = cut_lineage(marked.where("row_no = _a1 AND row_no = _b1").select(*place, "_a", "_b"))
+        kept.append(now)
+        for key in ("_a", "_b"):
+            pending = pending.join(now.select("artifact_id", key), ["artifact_id", key], "left_anti")
+    if not kept:
+        return df
+    every = kept[0]
+    for part in kept[1:]:
+        every = every.unionByName(part)
+    rows = df.withColumns({"_a": F.when(F.col("issue").isNull(), F.struct(*key_a)), "_b": F.when(F.col("issue").isNull(), F.struct(*key_b))})
+    for key in ("_a", "_b"):
+        rows = rows.join(every.select("artifact_id", key, F.col("row_no").alias(f"{key}_kept")), ["artifact_id", key], "left")
+    late = F.when(F.col("row_no") > F.col("_a_kept"), _issue("ERROR", code_a, text_a)).when(
+        F.col("row_no") > F.col("_b_kept"), _issue("ERROR", code_b, text_b))
+    return rows.withColumn("issue", F.coalesce("issue", late)).select(*df.columns)
 
 
 def accepted(normalised: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.fundamentals import map_concept, sector_benchmark
 from tapewright.operators.pit import prices_range
+from tapewright.session import cut_lineage
 
 PRICE_FIELDS = ("open", "high", "low", "close", "volume", "traded_value")
 
@@ -206,7 +207,8 @@ HEAD = ("filing_type", "reporting_frequency", "period_start", "period_end", "fis
 def filing_groups(rows: DataFrame) -> DataFrame:
     """One row per (symbol, filing): metadata, whether rows disagree on it, and a fingerprint of its facts.
 
-    A filing's facts are hashed row by row and the sorted hashes hashed again, so only 64 characters per fact meet.
+    A filing's facts are hashed row by row and the sorted hashes hashed again, so only 64 characters per fact meet. `place` is its first
+    row in the batch.
     """
     head = F.struct(*[F.col(c) for c in HEAD])
     line = F.sha2(F.to_json(F.struct("source_concept", F.col("value").cast("string"), "unit", "scale", "fact_kind",
@@ -214,13 +216,17 @@ def filing_groups(rows: DataFrame) -> DataFrame:
     body = F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(line))), 256)
     grouped = rows.groupBy("symbol", "isin", "source_filing_id").agg(
         F.count(F.lit(1)).alias("facts"), F.min(head).alias("h"), (F.min(head) != F.max(head)).alias("inconsistent"),
-        body.alias("_body"))
-    return grouped.select("symbol", "isin", "source_filing_id", "facts", "inconsistent", "h.*", F.sha2(
+        body.alias("_body"), F.min(F.struct("artifact_id", "row_no")).alias("place"))
+    return grouped.select("symbol", "isin", "source_filing_id", "facts", "inconsistent", "place", "h.*", F.sha2(
         F.concat_ws("|", "symbol", "source_filing_id", F.to_json("h"), "_body"), 256).alias("fingerprint"))
 
 
-def merge_filings(groups: DataFrame, stored: DataFrame, securities: DataFrame) -> DataFrame:
-    """`stored` filings hold symbol, source_filing_id, fingerprint and supersedes_source_filing_id."""
+def merge_filings(groups: DataFrame, stored: DataFrame, securities: DataFrame, in_batch: bool = True) -> DataFrame:
+    """`stored` filings hold symbol, source_filing_id, fingerprint and supersedes_source_filing_id.
+
+    With `in_batch` a filing may also revise one that an earlier row of the batch inserts, through any number of revisions; of
+    several revisions of one filing the first is inserted and the others are conflicts. `groups` then need `place`.
+    """
     master = securities.select("symbol", "isin", F.lit(True).alias("_sec"))
     same = stored.select("fingerprint", F.lit(True).alias("_identical")).distinct()
     own = stored.select("symbol", "source_filing_id", F.lit(True).alias("_own")).distinct()
@@ -233,6 +239,10 @@ def merge_filings(groups: DataFrame, stored: DataFrame, securities: DataFrame) -
         prior, ["symbol", "supersedes_source_filing_id"], "left").join(
         taken, ["symbol", "supersedes_source_filing_id"], "left")
     revises = F.col("supersedes_source_filing_id").isNotNull()
+    if in_batch:
+        rows = cut_lineage(rows)
+        rows = rows.join(_batch_revisions(rows), ["symbol", "source_filing_id"], "left").withColumns({
+            "_prior": F.when(F.coalesce("_prior", "_reached", F.lit(False)), True), "_taken": F.coalesce("_taken", F.lit(False)) | F.coalesce("_beaten", F.lit(False))})
     return _clean(_tag(
         rows, (F.col("_sec").isNull(), "REJECT", "FUNDAMENTAL_SECURITY_IDENTITY_UNRESOLVED"),
         (F.col("inconsistent"), "CONFLICT", "INCONSISTENT_FILING_METADATA"),
@@ -242,6 +252,32 @@ def merge_filings(groups: DataFrame, stored: DataFrame, securities: DataFrame) -
         (F.col("_own"), "CONFLICT", "FILING_CONTENT_CONFLICT")))
 
 
+def _batch_revisions(rows: DataFrame) -> DataFrame:
+    """For each revision of the batch: `_reached`, every filing it goes back to is stored or inserted before it, and `_beaten`.
+
+    Links to filings of the batch are doubled: a round looks twice as far back, so a chain of n revisions takes log n rounds.
+    """
+    key, old = ["symbol", "source_filing_id"], F.col("supersedes_source_filing_id")
+    sound = F.col("_sec").isNotNull() & ~F.col("inconsistent") & F.col("_identical").isNull() & F.col("_own").isNull() & (old.isNull() | F.col("_taken").isNull())
+    first = rows.where(sound & old.isNotNull()).groupBy("symbol", "supersedes_source_filing_id").agg(
+        F.min(F.struct("place", "source_filing_id")).alias("_first"))
+    nodes = rows.select(*key, "supersedes_source_filing_id", "place", "_prior", sound.alias("_sound")).join(
+        first, ["symbol", "supersedes_source_filing_id"], "left").withColumn(
+        "_beaten", F.col("_sound") & F.coalesce(F.struct("place", "source_filing_id") > F.col("_first"), F.lit(False)))
+    before = nodes.select("symbol", F.col("source_filing_id").alias("supersedes_source_filing_id"), F.col("place").alias("_before"))
+    # A link leads to a filing of the batch. What has no link stands on what is stored, or revises nothing.
+    links = cut_lineage(nodes.join(before, ["symbol", "supersedes_source_filing_id"], "left").select(
+        *key, "_beaten", F.when(old.isNotNull() & F.col("_prior").isNull(), old).alias("up"),
+        (F.col("_prior").isNotNull() | old.isNull() | F.coalesce(F.col("_before") < F.col("place"), F.lit(False))).alias("_reached"),
+        (F.col("_sound") & ~F.col("_beaten")).alias("_inserts")))
+    while not links.where("up IS NOT NULL AND _reached").isEmpty():
+        further = links.select("symbol", F.col("source_filing_id").alias("up"), F.col("up").alias("_up"), (F.col("_reached") & F.col("_inserts")).alias("_there"))
+        links = cut_lineage(links.join(further, ["symbol", "up"], "left").select(
+            *key, "_beaten", F.when(F.col("_reached") & F.coalesce("_there", F.lit(False)), F.col("_up")).alias("up"),
+            (F.col("_reached") & (F.col("up").isNull() | F.coalesce("_there", F.lit(False)))).alias("_reached"), "_inserts"))
+    return links.select(*key, "_reached", "_beaten")
+
+
 def unmapped_concepts(rows: DataFrame) -> DataFrame:
     """Facts kept without a canonical concept, counted per label."""
     return rows.where(map_concept(F.col("source_concept")).isNull()).groupBy("source_concept").agg(
@@ -252,11 +288,14 @@ def merge_classification(incoming: DataFrame, stored: DataFrame, securities: Dat
                          mapping: dict[str, str] | None = None) -> DataFrame:
     fields = ("macro", "sector", "industry", "basic_industry")
     master = securities.select("series", F.lit(True).alias("_sec"))
-    rows = incoming.join(master, "series", "left").join(
+    batch = _in_batch(incoming, ["series", "snapshot_date"], fields)
+    rows = batch.join(master, "series", "left").join(
         _stored(stored, ["series", "snapshot_date"], fields), ["series", "snapshot_date"], "left")
     out = _tag(rows, (F.col("_sec").isNull(), "REJECT", "CLASSIFICATION_SECURITY_IDENTITY_UNRESOLVED"),
                (F.col("_found") & _same(fields), "UNCHANGED", None),
-               (F.col("_found"), "CONFLICT", "CLASSIFICATION_SNAPSHOT_CONFLICT"))
+               (F.col("_found"), "CONFLICT", "CLASSIFICATION_SNAPSHOT_CONFLICT"),
+               (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
+               (F.col("_later"), "CONFLICT", "CLASSIFICATION_SNAPSHOT_CONFLICT"))
     return _clean(out.withColumn("benchmark", sector_benchmark(F.col("sector"), mapping)))
 
 
