@@ -85,3 +85,30 @@ add("h8_dataset_counts",
     sql("""SELECT (SELECT count(*) FROM securities) AS securities, (SELECT count(*) FROM bars) AS price_rows, (SELECT count(*) FROM actions) AS action_revisions,
            (SELECT count(*) FROM memberships) AS membership_intervals, (SELECT count(*) FROM calendar) AS sessions""",
         "securities", "bars", "actions", "memberships", "calendar"))
+
+
+def digest(fp, over=""):
+    parts = [f"sum(CAST('0x' || substr({fp}, {1 + 15 * i}, 15) AS BIGINT)) {over}" for i in range(4)]
+    return f"sha256(CAST(count(*) {over} AS VARCHAR) || " + " || ".join(f"'|' || CAST(coalesce({x}, 0) AS VARCHAR)" for x in parts) + ")"
+
+
+add("h2_series_digest", lambda s, p: repro.multiset_digest(repro.row_fingerprint(bars(s, p), COLS), ["series"]),
+    sql(f"SELECT series, {digest('fp')} AS digest FROM hashed GROUP BY series", "hashed"))
+add("h3_prefix_digest", lambda s, p: texted(repro.prefix_digest(bars(s, p), COLS), "session"),
+    sql(f"""SELECT series, {d('session')}, {digest('fp', 'OVER (PARTITION BY series ORDER BY session ROWS UNBOUNDED PRECEDING)')} AS prefix_digest FROM hashed""", "hashed"))
+add("h5_run_digest", lambda s, p: repro.run_digest("hold=5", repro.row_fingerprint(bars(s, p), COLS), results(s, p)),
+    sql(f"""SELECT sha256('hold=5|' || (SELECT {digest('fp')} FROM hashed) || '|' || (SELECT {digest('rf')} FROM results)) AS run_digest""", "hashed", "results"))
+
+
+def appended(s, p):
+    """Logged: a third of the runs, some of them with another result; the batch is all runs, one in seven of them twice."""
+    runs = src.runs(s, p).select("run_id", "experiment", "status", "started_at", "result_sha")
+    other = F.when(F.col("run_id") % 5 == 1, "changed").otherwise(F.col("result_sha"))
+    log = runs.where("run_id % 3 = 0").withColumn("result_sha", other)
+    return repro.append_run(log, runs.unionByName(runs.where("run_id % 7 = 2")))
+
+
+add("h7_append_run", lambda s, p: appended(s, p).groupBy("run_id", "outcome").agg(F.count(F.lit(1)).alias("rows")),
+    sql("""SELECT run_id, outcome, count(*) AS rows FROM (
+      SELECT run_id, CASE WHEN run_id % 3 = 0 AND run_id % 5 = 1 THEN 'RUN_ID_CONFLICT' WHEN run_id % 3 = 0 OR copy = 2 THEN 'ALREADY_LOGGED' ELSE 'APPENDED' END AS outcome
+      FROM runs JOIN (VALUES (1), (2)) v(copy) ON copy = 1 OR run_id % 7 = 2) GROUP BY ALL""", "runs"))

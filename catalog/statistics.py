@@ -233,3 +233,17 @@ add("g7_attribution_reconciles",
         {r8("sum(total_net_pnl) FILTER (WHERE label <> 'OVERALL')")} AS attributed_pnl,
         {r8("sum(total_net_pnl) FILTER (WHERE label = 'OVERALL')")} AS pnl,
         true AS trades_reconciled, true AS pnl_reconciled FROM ({ATT_SQL})""", "timeline", more=ATTRIBUTED))
+ALL_INDICES = f""",
+{CLOSED},
+named AS (SELECT DISTINCT index_id FROM timeline),
+lab AS (SELECT x.*, n.index_id || '/' || coalesce(t.regime, 'INSUFFICIENT_HISTORY') AS label FROM decided x CROSS JOIN named n
+          LEFT JOIN timeline t ON t.index_id = n.index_id AND t.session = x.signal
+        UNION ALL SELECT x.*, n.index_id || '/OVERALL' FROM decided x CROSS JOIN named n),
+clab AS (SELECT x.*, n.index_id || '/' || coalesce(t.regime, 'INSUFFICIENT_HISTORY') AS label FROM closed x CROSS JOIN named n
+           LEFT JOIN timeline t ON t.index_id = n.index_id AND t.session = x.signal
+         UNION ALL SELECT x.*, n.index_id || '/OVERALL' FROM closed x CROSS JOIN named n)"""
+ALL_SQL = metrics_sql(labels=f"(SELECT index_id || '/' || label AS label FROM named, (VALUES {CLASSES}, ('OVERALL')) v(label))")
+add("g7_attribution_by_index",
+    lambda s, p: regimes.attribution_by_index(decided(s, p), timeline(s, p)).select("index_id", "classification", *ATT),
+    trade_sql(f"""SELECT split_part(label, '/', 1) AS index_id, split_part(label, '/', 2) AS classification, coalesce(signal_count, 0) AS signal_count,
+        coalesce(executed_count, 0) AS executed_count, {', '.join(ATT[2:])} FROM ({ALL_SQL})""", "timeline", more=ALL_INDICES))

@@ -121,6 +121,29 @@ def regime_attribution(decided: DataFrame, timeline: DataFrame) -> DataFrame:
         0.0, ["total_net_pnl", "gross_profit", "gross_loss"])
 
 
+def attribution_by_index(decided: DataFrame, timeline: DataFrame) -> DataFrame:
+    """As `regime_attribution`, for every index of the timeline: (index_id, classification) and the metrics.
+
+    All classes of all indices are one aggregation over the setups, and OVERALL, which no index changes, is one more group of it. The
+    regimes of a session travel as one map; indices and sessions are as few as in the calendar.
+    """
+    names = timeline.agg(F.array_sort(F.collect_set("index_id")).alias("_indices"))  # one row
+    on_day = timeline.groupBy(F.col("session").alias("signal")).agg(
+        F.map_from_entries(F.collect_list(F.struct("index_id", "regime"))).alias("_regimes"))
+    own = F.transform("_indices", lambda i: F.struct(
+        i.alias("index_id"), F.coalesce(F.try_element_at("_regimes", i), F.lit(NONE)).alias("classification")))
+    whole = F.array(F.struct(F.lit("").alias("index_id"), F.lit("OVERALL").alias("classification")))
+    tagged = decided.join(on_day, "signal", "left").crossJoin(names).withColumn("_tag", F.explode(F.concat(own, whole))).select(
+        "*", "_tag.*").drop("_tag", "_indices", "_regimes")
+    stats = trade_analytics(tagged, ["index_id", "classification"])
+    every = names.select(F.explode("_indices").alias("index_id")).withColumn(
+        "classification", F.explode(F.array(*[F.lit(r) for r in (*REGIMES, "OVERALL")])))
+    found = every.join(stats.withColumnsRenamed({"index_id": "_i", "classification": "_c"}), (F.col("classification") == F.col("_c")) & (
+        (F.col("_c") == "OVERALL") | (F.col("_i") == F.col("index_id"))), "left").drop("_i", "_c")
+    zero = ["signal_count", "executed_count", "closed_count", "winning", "losing", "breakeven"]
+    return found.fillna(0, zero).fillna(0.0, ["total_net_pnl", "gross_profit", "gross_loss"])
+
+
 def attribution_reconciles(attributed: DataFrame) -> DataFrame:
     """Do the classes add up to OVERALL in trades and in profit?"""
     overall = F.col("classification") == "OVERALL"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,43 @@ def prefix_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                         [T.StructField("prefix_fingerprint", T.StringType())], _chain)
 
 
+# --- digests that combine -------------------------------------------------------------------------------------------
+#: Hexadecimal digits of a row's hash in one of its numbers; four numbers a row.
+SLICE = 15
+
+
+def _slices(hashes: str) -> list[Column]:
+    return [F.conv(F.substring(hashes, 1 + SLICE * i, SLICE), 16, 10).cast("decimal(20,0)") for i in range(4)]
+
+
+def _digest(count: Column, sums: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws("|", count.cast("string"), *[s.cast("string") for s in sums]), 256)
+
+
+def multiset_digest(rows: DataFrame, keys: Sequence[str] = (), hashes: str = "fingerprint") -> DataFrame:
+    """Digest of a multiset of row hashes, per key or of all: hash of their number and of the sums of their four slices.
+
+    Sums add up in any order, so partial sums do the work and no group is ever gathered, whatever its size.
+    """
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.coalesce(F.sum(s), F.lit(0)).cast("decimal(38,0)").alias(f"_s{i}") for i, s in enumerate(_slices(hashes))])
+    return sums.select(*keys, _digest(F.col("_n"), [F.col(f"_s{i}") for i in range(4)]).alias("digest"))
+
+
+def prefix_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per series and session, the multiset digest of the rows up to that day, from running sums of one window."""
+    rows = row_fingerprint(df, columns)
+    upto = Window.partitionBy("series").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(s).over(upto).cast("decimal(38,0)") for s in _slices("fingerprint")]
+    return rows.select("series", "session", _digest(F.count(F.lit(1)).over(upto), sums).alias("prefix_digest"))
+
+
+def run_digest(config: str, data_rows: DataFrame, results: DataFrame) -> DataFrame:
+    """One row from the configuration text and the digests of the rows of the data set and of all results."""
+    both = multiset_digest(data_rows).crossJoin(multiset_digest(results, (), "result_fingerprint").withColumnRenamed("digest", "r"))  # one row each
+    return both.select(F.sha2(F.concat_ws("|", F.lit(config), "digest", "r"), 256).alias("run_digest"))
+
+
 def result_fingerprint(results: DataFrame, definition: str, columns: Sequence[str]) -> DataFrame:
     """Hash of one evaluated row under a named definition."""
     return results.withColumn("result_fingerprint", F.sha2(F.concat(F.lit(definition + "|"), canonical(results, columns)), 256))
@@ -94,6 +131,21 @@ def run_drift(new_runs: DataFrame, log: DataFrame) -> DataFrame:
     return rows.withColumn("drift", drift).drop("_d", "_r")
 
 
+def append_run(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """`runs` with an outcome: APPENDED (the rows to write), ALREADY_LOGGED (the same run again, or once more in the batch) or
+    RUN_ID_CONFLICT (the id is taken by another run). Logged rows are never changed."""
+    facts = [c for c in ("experiment", "status", "started_at", "completed_at", "sha256", "result_sha") if c in runs.columns]
+    held = log.select("run_id", F.struct(*facts).alias("_old")).groupBy("run_id").agg(F.min("_old").alias("_old"))
+    first = runs.groupBy("run_id").agg(F.min(F.struct(*facts)).alias("_first"))
+    order = Window.partitionBy("run_id", *facts).orderBy(F.lit(0))
+    rows = runs.withColumn("_k", F.row_number().over(order)).join(held, "run_id", "left").join(first, "run_id").withColumn("_own", F.struct(*facts))
+    known = F.col("_old").isNotNull()
+    outcome = (
+        F.when(known & F.col("_own").eqNullSafe(F.col("_old")), "ALREADY_LOGGED").when(known | ~F.col("_own").eqNullSafe(F.col("_first")), "RUN_ID_CONFLICT")
+        .when(F.col("_k") > 1, "ALREADY_LOGGED").otherwise("APPENDED"))
+    return rows.withColumn("outcome", outcome).drop("_k", "_old", "_first", "_own")
+
+
 def run_page(log: DataFrame, experiment: str, page: int, page_size: int) -> DataFrame:
     return log.where(F.col("experiment") == experiment).orderBy(F.col("started_at").desc(), F.col("run_id").desc()).offset(
         (page - 1) * page_size).limit(page_size)
