@@ -38,6 +38,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
 BYTE_FOLDED = BYTE[LOWER]
 
+#: Places of a word whose values are looked up; those further on are computed.
+NEAR = 64
+
+
+def placed(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A scrambled value for a byte's value at a place of its word: no sum of such values follows from that of other places."""
+    return mix(values + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+
+
+_tables: dict[bytes, np.ndarray] = {}
+
+
+def _near_table(values: np.ndarray) -> np.ndarray:
+    key = values.tobytes()
+    if key not in _tables:
+        _tables[key] = placed(np.tile(values, NEAR), np.repeat(np.arange(NEAR), 256))
+    return _tables[key]
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -88,6 +107,7 @@ def _parts(data: np.ndarray, separator: np.ndarray) -> Iterator[tuple[int, int]]
 def words_of(data: np.ndarray, separator: np.ndarray = SPACE, values: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of a text's words."""
     starts, ends, hashes = [], [], []
+    table = _near_table(values)
     for a, b in _parts(data, separator):
         part = data[a:b]
         inside = np.empty(len(part) + 2, bool)
@@ -97,13 +117,18 @@ def words_of(data: np.ndarray, separator: np.ndarray = SPACE, values: np.ndarray
         s, e = edges[::2], edges[1::2]
         if not len(s):
             continue
-        power, inverse = powers(len(part))
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values[part] * power, out=sums[1:])
+        # Bytes of words alone, each with its place; a word's hash is the sum over its bytes.
+        length = e - s
+        first = np.cumsum(length) - length
+        letters = part[inside[1:-1]]
+        places = np.arange(len(letters)) - np.repeat(first, length)
+        terms = table[np.minimum(places, NEAR - 1) * 256 + letters]
+        if length.max() > NEAR:
+            far = np.flatnonzero(places >= NEAR)
+            terms[far] = placed(values[letters[far]], places[far])
         starts.append(s + a)
         ends.append(e + a)
-        hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
+        hashes.append(mix(np.add.reduceat(terms, first) + length.astype(np.uint64)))
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)

@@ -161,6 +161,40 @@ def test_word_hashes_do_not_depend_on_place_or_part(monkeypatch):
     assert len(set(whole.tolist())) == len(set(t.split()))
 
 
+def mirrored():
+    """Two words of 1 024 letters that every polynomial modulo 2**64 takes for the same."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_mirrored_words_are_no_copies(spark, tmp_path):
+    one, other = mirrored()
+    frame = data.documents(spark, [(1, one), (2, other), (3, other)], repeated=False)
+    got = {r.doc_id: (r.component_id, r.kept) for r in chosen_path.query(spark, write(tmp_path, frame)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (2, False)}
+
+
+def test_windows_of_mirrored_words_are_kept(spark, tmp_path):
+    one, other = mirrored()
+    around = data.prose(5, 60)
+    frame = data.documents(spark, [(1, f"{one} {around}"), (2, f"{other} {around}"), (3, f"{one} {around}")], repeated=False)
+    got = {r.doc_id: r.n_removed for r in factoring.query(spark, write(tmp_path, frame)).collect()}
+    assert got == {1: 0, 2: 60, 3: 61}
+
+
+def test_word_hashes_of_long_words_and_small_tables(monkeypatch):
+    words = data.prose(3, 40).split() + ["x" * 63, "x" * 64, "x" * 65, "x" * 200, "x" * 199 + "y", "é" * 50]
+    joined = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes = text.words_of(joined)[2].tolist()
+    assert len(set(hashes)) == len(set(words))
+    monkeypatch.setattr(text, "NEAR", 4)
+    text._tables.clear()
+    assert text.words_of(joined)[2].tolist() == hashes
+    text._tables.clear()
+
+
 def test_anchors_do_not_depend_on_place_or_part(monkeypatch):
     t = np.frombuffer(data.prose(1, 2000).encode(), np.uint8)
     shape = anchors.Shape(200, 32)
