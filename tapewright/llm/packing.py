@@ -104,12 +104,18 @@ class Words:
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """One memory for all tasks that a worker process runs after each other."""
+    return Words(path)
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every whole text, the end token last."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = Words(path)
+        words = _words(path)
         for batch in batches:
             at, kept, size = 0, [], 0
             for i, data in enumerate(text.texts_of(batch), 1):
