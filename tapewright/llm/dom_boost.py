@@ -12,13 +12,15 @@ out has none taken, and an advert inside an article makes the article mixed inst
 Text: references decoded, white space inside a block one space, trimmed, blocks in page order joined by one line feed.
 
 Defined results: null or empty html, or a page without article, gives the empty string. Markup that is not closed is closed
-at the end. Repeated rows are extracted each.
+at the end. Repeated rows are extracted each. An empty table gives no rows; columns other than the three named are not read. Pages of any
+length are parsed in time proportional to it.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -55,7 +57,8 @@ TOKENS = (
     frozenset("form login search".split()), frozenset("content article post entry story body text main copy".split()))
 LEAVE_OUT = frozenset("head".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.S)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-y|hidden|aria-hidden)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -72,62 +75,131 @@ class Tree:
     parts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
+class Markup:
+    """Finds a page's tags, comments and declarations one after another, in time proportional to the page.
+
+    A tag ends at the first > outside quotes. An opening that never ends is text; the places such a search came through are
+    remembered, so none is searched twice.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops = [m.start() for m in _STOP.finditer(page)]
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at `at`, -1 for none."""
+        page, stops, seen = self.page, self.stops, []
+        k = bisect_left(stops, at)
+        while k < len(stops) and k not in self.dead:
+            place = stops[k]
+            if page[place] == ">":
+                return place
+            seen.append(k)
+            shut = page.find(page[place], place + 1)
+            if shut < 0:
+                break
+            k = bisect_left(stops, shut) + 1
+        self.dead.update(seen)
+        return -1
+
+    def __iter__(self):
+        """(start, end, closing slash, name, attributes); the name is empty for what is no element."""
+        page, at = self.page, 0
+        while m := _OPENING.search(page, at):
+            at = m.end()
+            if page.startswith("<!--", m.start()):
+                end = page.find("-->", at)
+                end = len(page) if end < 0 else end + 3
+                jump = yield m.start(), end, "", "", ""
+            elif not m[2]:
+                if at > self.last:
+                    continue
+                jump = yield m.start(), (end := page.index(">", at) + 1), "", "", ""
+            else:
+                shut = self.tag_end(at)
+                if shut < 0:
+                    continue
+                jump = yield m.start(), (end := shut + 1), m[1], m[2].lower(), page[at:shut]
+            at = jump or end
+
+
+class Open:
+    """The open elements: a stack, and for each tag the places where it stands in it."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["html"]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tags) -> int:
+        """The highest place of any of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        while place and len(self.nodes) > place:
+            self.places[self.tags.pop()].pop()
+            self.nodes.pop()
+
+
 def parse(page: str, marked: bool = True) -> Tree:
     """The page's elements; `marked` pages are drawn ones, whose data-y is read. On a real page data-y may be anything."""
-    tree, stack, at, block = Tree(["html"], [-1], [frozenset()], [-1]), [0], 0, 0
-    while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at:m.start()] if m else page[at:]
+    tree, stack, at, block = Tree(["html"], [-1], [frozenset()], [-1]), Open(), 0, 0
+
+    def said(piece: str) -> None:
         if piece and not piece.isspace():
-            tree.parts.append((stack[-1], block, references.unescape(piece)))
+            tree.parts.append((stack.nodes[-1], block, references.unescape(piece)))
         elif piece and tree.parts:
-            tree.parts.append((stack[-1], block, " "))
-        if not m:
+            tree.parts.append((stack.nodes[-1], block, " "))
+
+    found, jump = iter(Markup(page)), None
+    while True:
+        try:
+            start, end, slash, name, attributes = found.send(jump)
+        except StopIteration:
+            said(page[at:])
             return tree
-        at = m.end()
-        name = (m[2] or "").lower()
+        said(page[at:start])
+        at, jump = end, None
         if not name:
             continue
         if name == "br":
-            tree.parts.append((stack[-1], block, " "))
+            tree.parts.append((stack.nodes[-1], block, " "))
             continue
         if name not in INLINE:
             block += 1
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tree.tags[stack[i]] == name:
-                    del stack[i:]
-                    break
+        if slash:
+            stack.cut(stack.last([name]))
             continue
         if name in RAW or name == "title":
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = jump = close.end() if close else len(page)
             continue
         if name in CLOSES_P or name in SELF_CLOSING:
             closes = SELF_CLOSING.get(name, ("p",))
-            for i in range(len(stack) - 1, 0, -1):
-                tag = tree.tags[stack[i]]
-                if tag in closes:
-                    del stack[i:]
-                    break
-                if tag in SCOPES and tag not in closes:
-                    break
+            ended = stack.last(closes)
+            if ended and ended > stack.last(SCOPES.difference(closes)):
+                stack.cut(ended)
         if name in VOID:
             continue
         tokens, label = set(), -1
-        if m[3]:
-            for key, a, b, c in _ATTRIBUTE.findall(m[3]):
+        if attributes:
+            for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 if key.lower() == "data-y":
                     if marked:
                         label = int(a or b or c or -1)
                 else:
                     tokens.update(_SPLIT.split((a or b or c).lower()))
         tree.tags.append(name)
-        tree.parents.append(stack[-1])
+        tree.parents.append(stack.nodes[-1])
         tree.tokens.append(frozenset(tokens))
         tree.labels.append(label)
-        if not m[3].endswith("/") or name not in VOID:
-            stack.append(len(tree.tags) - 1)
+        stack.push(len(tree.tags) - 1, name)
 
 
 N_TAGS, N_TOKENS = len(TAG_GROUPS), len(TOKENS)
