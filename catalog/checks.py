@@ -206,6 +206,46 @@ add("q14_membership_coverage",
   FROM (SELECT *, max(valid_from) OVER (PARTITION BY index_id) AS hi FROM memberships) GROUP BY index_id""", "memberships"))
 
 
+def named_indices(s, p):
+    """Regions and nations: every one of them could be an index; only regions have members."""
+    rows = src.securities(s, p)
+    return rows.select(F.col("macro").alias("index_id")).unionByName(rows.select(F.col("sector").alias("index_id")))
+
+
+add("q14_coverage_of_named_indices",
+    lambda s, p: text(q.membership_coverage(src.memberships(s, p), named_indices(s, p)), "first_snapshot", "last_snapshot"), sql("""
+  SELECT i.index_id, CAST(min(valid_from) AS VARCHAR) AS first_snapshot, CAST(max(valid_from) AS VARCHAR) AS last_snapshot,
+    count(DISTINCT valid_from) AS snapshots, count(*) FILTER (WHERE valid_from = hi) AS latest_members,
+    CASE count(DISTINCT valid_from) WHEN 0 THEN 'NONE' WHEN 1 THEN 'CURRENT_SNAPSHOT_ONLY' ELSE 'BOUNDED_SNAPSHOT_SEQUENCE' END AS kind
+  FROM (SELECT macro AS index_id FROM securities UNION SELECT sector FROM securities) i
+  LEFT JOIN (SELECT *, max(valid_from) OVER (PARTITION BY index_id) AS hi FROM memberships) m ON m.index_id = i.index_id GROUP BY i.index_id""", "memberships", "securities"))
+READY_RULES = {
+    "SECURITY_MASTER": ("n > 0 AND share = 1", "n > 0"), "MEMBERSHIP": ("n >= 2 AND share >= 0.5", "n > 0"),
+    "EQUITY_EOD": ("n >= 252", "n > 0"), "BENCHMARK": ("n >= 252 AND share >= 0.75", "n > 0 AND share > 0")}
+
+
+def measured(s, p):
+    """n and share of each data set: active master rows, indices with several snapshots, sessions with prices, official benchmark rows."""
+    part_of = lambda cond: (F.count_if(cond) / F.count(F.lit(1))).alias("share")
+    code = lambda df, name: df.select(F.lit(name).alias("code"), "n", "share")
+    one = F.count(F.lit(1)).alias("n")
+    several = q.membership_coverage(src.memberships(s, p)).agg(one, part_of(F.col("snapshots") > 1))
+    sessions = src.bars(s, p).agg(F.count_distinct("session").alias("n"), F.lit(1.0).alias("share"))
+    return (code(src.securities(s, p).agg(one, part_of(F.col("is_active"))), "SECURITY_MASTER").unionByName(code(several, "MEMBERSHIP"))
+            .unionByName(code(sessions, "EQUITY_EOD")).unionByName(code(src.benchmark_prices(s, p).agg(one, part_of(F.col("source_mode") == "OFFICIAL")), "BENCHMARK")))
+
+
+add("q15_readiness_by_own_rules",
+    lambda s, p: q.dataset_readiness(measured(s, p), READY_RULES).select("code", "n", "status"), sql("""
+  SELECT code, n, CASE WHEN full_ THEN 'READY' WHEN some_ THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS status FROM (
+    SELECT 'SECURITY_MASTER' AS code, count(*) AS n, count(*) > 0 AND bool_and(is_active) AS full_, count(*) > 0 AS some_ FROM securities
+    UNION ALL SELECT 'MEMBERSHIP', count(*), count(*) >= 2 AND 2 * count(*) FILTER (WHERE k > 1) >= count(*), count(*) > 0
+      FROM (SELECT index_id, count(DISTINCT valid_from) AS k FROM memberships GROUP BY index_id)
+    UNION ALL SELECT 'EQUITY_EOD', count(DISTINCT session), count(DISTINCT session) >= 252, count(DISTINCT session) > 0 FROM bars
+    UNION ALL SELECT 'BENCHMARK', count(*), count(*) >= 252 AND 4 * count(*) FILTER (WHERE source_mode = 'OFFICIAL') >= 3 * count(*),
+      count(*) FILTER (WHERE source_mode = 'OFFICIAL') > 0 FROM benchmark_prices)""", "securities", "memberships", "bars", "benchmark_prices"))
+
+
 def _ready(s, p):
     counts = [
         src.securities(s, p).where("origin = 'OFFICIAL'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("SECURITY_MASTER").alias("code"), "n"),

@@ -158,6 +158,9 @@ part("classified", ("classifications",), """SELECT * FROM (SELECT *, row_number(
 add("u13_peers", lambda s, p: fu.peers(classified(s, p), 3), sql(" UNION ALL ".join(
     f"SELECT '{c}' AS level, series FROM classified WHERE series <> 3 AND {c} = (SELECT {c} FROM classified WHERE series = 3)"
     for c in fu.LEVELS), "classified"))
+add("u13_peers_of_a_set", lambda s, p: fu.peers_of(classified(s, p), src.securities(s, p).where("origin = 'DEMO'")), sql(" UNION ALL ".join(
+    f"SELECT a.series, '{c}' AS level, b.series AS peer FROM classified a JOIN securities o ON o.series = a.series AND o.origin = 'DEMO' JOIN classified b ON b.{c} = a.{c} AND b.series <> a.series"
+    for c in fu.LEVELS), "classified", "securities"))
 add("u13_peer_counts", lambda s, p: fu.peer_counts(classified(s, p)), sql("SELECT series, " + ", ".join(
     f"count(*) OVER (PARTITION BY {c}) - 1 AS {c}_peers" for c in fu.LEVELS) + " FROM classified", "classified"))
 MAP = {"NATION_0": "AFRICA", "NATION_3": "ASIA", "NATION_6": "EUROPE", "NATION_9_B": "AMERICA"}

@@ -249,3 +249,10 @@ ORACLES["s15_signal_diagnostics"] = with_features(
         count(*) FILTER (WHERE status = 'NOT_MATCHED') AS non_matches,
         count(*) FILTER (WHERE status = '{scan.INSUFFICIENT}') AS insufficient FROM outcomes""",
     "memberships", "calendar", more=OUTCOMES)
+
+PREVIEW = 250  # the feature's own limit
+QUERIES["s15_signal_preview"] = lambda s, p: scan.signal_preview(outcomes(s, p), PREVIEW).select(
+    "index_id", "series", F.col("session").cast("string").alias("session"), F.col("matched_count").cast("bigint").alias("matched_count"), "status", "truncated")
+ORACLES["s15_signal_preview"] = with_features(
+    f"""SELECT index_id, series, {d('session')}, matched_count, status, (SELECT count(*) FROM outcomes) > {PREVIEW} AS truncated FROM outcomes
+        ORDER BY outcomes.session, series, index_id LIMIT {PREVIEW}""", "memberships", "calendar", more=OUTCOMES)

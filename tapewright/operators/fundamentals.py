@@ -205,6 +205,21 @@ def peers(classified: DataFrame, series) -> DataFrame:
     return rows.select(F.explode(levels).alias("level"), "series")
 
 
+def peers_of(classified: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(series, level, peer): the others at each level for every series of a set, by equality joins on (level, name)."""
+    newest = ["snapshot_date"] if "snapshot_date" in classified.columns else []
+    own = classified.join(wanted.select("series").distinct(), "series", "left_semi").groupBy("series").agg(
+        F.max(F.struct(*newest, *LEVELS)).alias("_own"))
+
+    def named(rows: DataFrame, series: str, field) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), field(c).alias("name")) for c in LEVELS]))
+        return rows.select(F.col("series").alias(series), each.alias("_l")).select(series, "_l.*").where("name IS NOT NULL")
+
+    asked = named(own, "series", lambda c: F.col(f"_own.{c}"))
+    every = named(classified, "peer", F.col).distinct()
+    return asked.join(every, ["level", "name"]).where("series <> peer").select("series", "level", "peer")
+
+
 def peer_counts(classified: DataFrame) -> DataFrame:
     """Number of peers of every series at each level, from group sizes rather than pairs."""
     out = classified

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from tapewright.operators.pit import session_index
 
 
-
-
 def ohlc_flags() -> Column:
     """Number of broken rules of a row: negative price, high below low, open or close outside, negative volume."""
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
@@ -204,12 +203,27 @@ def classification_coverage(classifications: DataFrame, members: DataFrame, benc
     return known.crossJoin(inside).crossJoin(mapped)  # one row each
 
 
-def membership_coverage(memberships: DataFrame) -> DataFrame:
+def membership_coverage(memberships: DataFrame, indices: DataFrame | None = None) -> DataFrame:
+    """Snapshots of every index; of the given `indices` those without a snapshot too, as NONE."""
     per = memberships.groupBy("index_id", "valid_from").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.count(F.lit(1)) == 1, "CURRENT_SNAPSHOT_ONLY").otherwise("BOUNDED_SNAPSHOT_SEQUENCE")
-    return per.groupBy("index_id").agg(
+    held = per.groupBy("index_id").agg(
         F.min("valid_from").alias("first_snapshot"), F.max("valid_from").alias("last_snapshot"),
         F.count(F.lit(1)).alias("snapshots"), F.max_by("n", "valid_from").alias("latest_members"), kind.alias("kind"))
+    if indices is None:
+        return held
+    every = indices.select("index_id").unionByName(held.select("index_id")).distinct()
+    return every.join(held, "index_id", "left").fillna(0, ["snapshots", "latest_members"]).fillna("NONE", ["kind"])
+
+
+def dataset_readiness(measured: DataFrame, rules: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Add `status` to rows of (code, measures) by each data set's own rule: what makes it READY, and what PARTIAL, as conditions
+    on its measures. A data set without a rule, or one whose measures are unknown, is UNAVAILABLE."""
+    ready, partial = F.lit(False), F.lit(False)
+    for code, (full, some) in rules.items():
+        ready = F.when(F.col("code") == code, F.expr(full)).otherwise(ready)
+        partial = F.when(F.col("code") == code, F.expr(some)).otherwise(partial)
+    return readiness(measured, ready, partial)
 
 
 def readiness(counts: DataFrame, ready: Column, partial: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.fixed_values import BOOLEAN_CODES, FEATURE_CODES, RULE_SETS
@@ -217,4 +217,8 @@ def signal_diagnostics(outcomes: DataFrame) -> DataFrame:
 
 
 def signal_preview(outcomes: DataFrame, limit: int) -> DataFrame:
-    return outcomes.orderBy("session", "series").limit(limit)
+    """The first outcomes by session, series and index (a limit per partition before the shuffle), each with `truncated`: are there more?"""
+    order = [c for c in ("session", "series", "index_id") if c in outcomes.columns]
+    some = outcomes.orderBy(*order).limit(limit + 1)
+    return (some.withColumns({"_k": F.row_number().over(Window.orderBy(*order)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+            .where(F.col("_k") <= limit).withColumn("truncated", F.col("_n") > limit).drop("_k", "_n"))
