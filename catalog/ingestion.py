@@ -420,6 +420,12 @@ part("pmerge", ("bars",), """
     THEN 'HISTORICAL_DATA_CONFLICT' END AS code FROM (SELECT *, series + day(session) AS k FROM bars)""")
 add("i17_merge_prices", lambda s, p: texted(price_merge(s, p).select("series", "session", "action", "code"), "session"),
     sql(f"SELECT series, {d('session')}, action, code FROM pmerge", "pmerge"))
+add("i17_conflict_hashes",
+    lambda s, p: texted(price_merge(s, p).where("action = 'CONFLICT'").select("series", "session", "code", "existing_hash", "incoming_hash"), "session"),
+    sql(f"""SELECT series, {d('session')}, code, CASE WHEN session < DATE '2000-01-03' THEN sha256(concat_ws('|', open, high, low,
+          close + CASE WHEN (series + day(session)) % 53 = 1 THEN 1 ELSE 0 END, volume, traded_value)) END AS existing_hash,
+        sha256(concat_ws('|', open, high, low, close, volume, traded_value)) AS incoming_hash
+        FROM pmerge JOIN bars USING (series, session) WHERE action = 'CONFLICT'""", "pmerge", "bars"))
 add("i17_confirmed_sessions",
     lambda s, p: texted(merge.confirmed_sessions(price_merge(s, p), _holidays(s, p).where("session < '2001-01-01'")).select("exchange", "session"), "session"),
     sql(f"""SELECT DISTINCT 'X' AS exchange, {d('session')} FROM pmerge WHERE action IN ('INSERT', 'UNCHANGED') AND session NOT IN (
@@ -506,6 +512,15 @@ add("i20_merge_index_prices",
         FROM (SELECT *, session < DATE '2000-01-03' AND dayofyear(session) % 31 = 4 AS clash FROM benchmark_prices)""", "benchmark_prices"))
 
 
+KNOWN = "2001-07-01 12:30:00"
+add("i20_index_prices_known_at",
+    lambda s, p: texted(merge.merge_index_prices(
+        src.benchmark_prices(s, p).drop("available_at"), stored_index(s, p), F.lit(KNOWN).cast("timestamp")).select("index_id", "session", "action", "available_at"),
+        "session", "available_at"),
+    sql(f"""SELECT index_id, {d('session')}, CASE WHEN session >= DATE '2000-01-03' THEN 'INSERT' WHEN dayofyear(session) % 31 = 4 THEN 'CONFLICT' ELSE 'UNCHANGED' END AS action,
+        CASE WHEN session >= DATE '2000-01-03' THEN '{KNOWN}' END AS available_at FROM benchmark_prices""", "benchmark_prices"))
+
+
 def incoming_actions(s, p):
     return src.actions(s, p).where("supersedes_id IS NULL").select(
         "id", "series", "type", "ex_date", F.when(F.col("series") % 40 == 0, F.col("num") + 1).otherwise(F.col("num")).cast("decimal(18,8)").alias("num"), "den",

@@ -45,7 +45,19 @@ def _in_batch(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> Da
     order = [c for c in ("artifact_no", "artifact_id", "row_no") if c in rows.columns] + list(fields)
     over = Window.partitionBy(*keys).orderBy(*order)
     first = F.first(F.struct(*fields)).over(over)
-    return rows.withColumns({"_later": F.row_number().over(over) > 1, "_as_first": first.eqNullSafe(F.struct(*fields))})
+    return rows.withColumns({"_later": F.row_number().over(over) > 1, "_first": first, "_as_first": first.eqNullSafe(F.struct(*fields))})
+
+
+def _value_hash(fields: Sequence[str], prefix: str = "") -> Column:
+    return F.sha2(F.concat_ws("|", *[F.col(prefix + f).cast("string") for f in fields]), 256)
+
+
+def _with_hashes(tagged: DataFrame, fields: Sequence[str], *held: Column) -> DataFrame:
+    """On a conflict the hashes of the incoming values and of those held: stored ones, else the batch's first of the key."""
+    clash = F.col("action") == "CONFLICT"
+    first = F.when(F.col("_later"), _value_hash(fields, "_first."))
+    existing = F.coalesce(F.when(F.col("_found"), _value_hash(fields, "_s_")), *held, first)
+    return tagged.withColumns({"existing_hash": F.when(clash, existing), "incoming_hash": F.when(clash, _value_hash(fields))})
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -84,22 +96,24 @@ def resolve_identity(rows: DataFrame, securities: DataFrame) -> DataFrame:
 
 # --- I17-I22 --------------------------------------------------------------------------------------------------------
 def merge_prices(incoming: DataFrame, stored: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Keyed by (series, session); a batch dated on a confirmed holiday conflicts as a whole.
+    """Keyed by (series, session); a batch dated on a confirmed holiday conflicts as a whole. Conflicts carry hashes of both values.
 
     Of rows of a batch with one key the first is compared with the tape and the others with it, so a key is inserted once.
     """
     closed = calendar.where(~F.col("is_trading_day")).select("session", F.lit(True).alias("_closed")).distinct()
     old = _stored(stored.where(F.col("origin") == "OFFICIAL"), ["series", "session"], PRICE_FIELDS)
-    other = stored.where(F.col("origin") != "OFFICIAL").select("series", "session", F.lit(True).alias("_other"))
+    other = stored.where(F.col("origin") != "OFFICIAL").groupBy("series", "session").agg(
+        F.lit(True).alias("_other"), F.min(_value_hash(PRICE_FIELDS)).alias("_other_hash"))
     batch = _in_batch(incoming, ["series", "session"], PRICE_FIELDS)
-    rows = batch.join(old, ["series", "session"], "left").join(other.distinct(), ["series", "session"], "left").join(
+    rows = batch.join(old, ["series", "session"], "left").join(other, ["series", "session"], "left").join(
         closed, "session", "left")
-    return _clean(_tag(
+    tagged = _tag(
         rows, (F.col("_closed"), "CONFLICT", "CALENDAR_CONFLICT"),
         (F.col("_other"), "CONFLICT", "HISTORICAL_DATA_CONFLICT"),
         (F.col("_found") & _same(PRICE_FIELDS), "UNCHANGED", None),
         (F.col("_found"), "CONFLICT", "HISTORICAL_DATA_CONFLICT"), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
-        (F.col("_later"), "CONFLICT", "HISTORICAL_DATA_CONFLICT")))
+        (F.col("_later"), "CONFLICT", "HISTORICAL_DATA_CONFLICT"))
+    return _clean(_with_hashes(tagged, PRICE_FIELDS, F.col("_other_hash")))
 
 
 def confirmed_sessions(merged: DataFrame, calendar: DataFrame, exchange: str = "X") -> DataFrame:
@@ -124,17 +138,16 @@ def merge_securities(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         (F.col("_later"), "CONFLICT", "SECURITY_IDENTITY_CONFLICT")))
 
 
-def merge_index_prices(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """As prices, with hashes of the stored and the incoming values on a conflict."""
+def merge_index_prices(incoming: DataFrame, stored: DataFrame, available_at: Column | None = None) -> DataFrame:
+    """As prices; rows to insert get `available_at`, when the batch was known, if it is told."""
     fields = ("open", "high", "low", "close")
     batch = _in_batch(incoming, ["index_id", "session"], fields)
     rows = batch.join(_stored(stored, ["index_id", "session"], fields), ["index_id", "session"], "left")
-    text = lambda prefix: F.sha2(F.concat_ws("|", *[F.col(prefix + f).cast("string") for f in fields]), 256)
     tagged = _tag(rows, (F.col("_found") & _same(fields), "UNCHANGED", None),
                   (F.col("_found"), "CONFLICT", "INDEX_PRICE_CONFLICT"), (F.col("_later") & F.col("_as_first"), "UNCHANGED", None),
                   (F.col("_later"), "CONFLICT", "INDEX_PRICE_CONFLICT"))
-    clash = F.col("action") == "CONFLICT"
-    return _clean(tagged.withColumns({"existing_hash": F.when(clash, text("_s_")), "incoming_hash": F.when(clash, text(""))}))
+    out = _clean(_with_hashes(tagged, fields))
+    return out if available_at is None else out.withColumn("available_at", F.when(F.col("action") == "INSERT", available_at))
 
 
 def merge_actions(incoming: DataFrame, stored: DataFrame, securities: DataFrame) -> DataFrame:

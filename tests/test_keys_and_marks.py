@@ -2,6 +2,7 @@
 
 from datetime import date
 from decimal import Decimal
+from hashlib import sha256
 
 import pytest
 
@@ -23,6 +24,9 @@ def test_a_key_is_inserted_once(spark):
     got = merge.merge_prices(new, old, spark.createDataFrame([], CAL)).orderBy("row_no").collect()
     assert [(r.action, r.code) for r in got] == [
         ("INSERT", None), ("UNCHANGED", None), ("CONFLICT", "HISTORICAL_DATA_CONFLICT"), ("INSERT", None)]
+    # the conflict names the values of the row that came first, and its own
+    text = lambda c: sha256(f"1|9|1|{c}|5".encode()).hexdigest()
+    assert [(r.existing_hash, r.incoming_hash) for r in got] == [(None, None), (None, None), (text(4), text(5)), (None, None)]
 
 
 def test_repeated_identities_give_one_row(spark):
