@@ -39,6 +39,8 @@ class Limits:
 
 
 REMEMBERED = 300_000
+#: Signs that are one piece behind letters: ASCII without the apostrophe, which may be a contraction's, and the mark.
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_{|}~'
 #: Stands between words that are encoded in one call.
 MARK = "`"
 
@@ -51,6 +53,19 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _last_of_words(path: str) -> np.ndarray | None:
+    """Which ids end a word, where the vocabulary marks them with a suffix; None where it does not."""
+    tokenizer = _tokenizer(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class Words:
     """Ids of texts by a tokenizer that drops white space, word by word with a bounded memory of words.
 
@@ -61,8 +76,40 @@ class Words:
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.before = _tokenizer(path), {}, {}
+        self.last = _last_of_words(path)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters, with signs behind them or not, are strung together by spaces: the letters end with the one id of their own
+        that ends words, and so do the signs.
+
+        A run in which there are more such ids (normalising may bring forth signs; never fewer) is encoded with marks instead.
+        """
+        out: list[bytes] = [b""] * len(words)
+        plain, parts, marked = [], [], []
+        for i, w in enumerate(words):
+            letters = w.rstrip(SIGNS)
+            if self.last is not None and letters.decode(errors="replace").isalpha():
+                plain.append(i)
+                parts.append(1 + (len(letters) < len(w)))
+            else:
+                marked.append(i)
+        runs = [slice(at, at + 512) for at in range(0, len(plain), 512)]
+        strung = [b" ".join([words[i] for i in plain[run]]).decode() for run in runs]
+        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(strung, add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(parts[run])
+            if len(ends) != last[-1]:
+                marked += plain[run]
+                continue
+            packed_ids, at = ids.tobytes(), 0
+            for i, end in zip(plain[run], (4 * ends[last - 1]).tolist(), strict=True):
+                out[i] = packed_ids[at:end]
+                at = end
+        for i, ids in zip(marked, self.encode_marked([words[i] for i in marked]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode_marked(self, words: list[bytes]) -> list[bytes]:
         """Many words in few calls: they are strung together with a mark between them, whose one id parts their ids.
 
         A word that yields the mark's id itself (normalising turns other signs into it) shows as a mark too many; the words

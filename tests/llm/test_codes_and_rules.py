@@ -72,6 +72,16 @@ def test_special_tokens_and_odd_bytes_and_few_remembered(monkeypatch):
     assert len(few.known) + len(few.before) <= 6 + 2 * 4
 
 
+def test_words_of_letters_are_encoded_as_alone():
+    whole = Tokenizer.from_file(WORDS)
+    words = sorted({w for t in [data.prose(i, 400) for i in range(8)] for w in t.split()} | set(
+        "İSTANBUL ΑΣ ΣΑΣ ﬁne ǅ ẞ ß naïve naïve 日本語 ภาษา हिन्दी ʼn Ω K Å ª º".split()) | {"a" * 300, "é" * 90})
+    words += [w + sign for i, w in enumerate(words) for sign in (".", ",", "***", "'s", "'", "`", "=\u0338", "...'", "<|endoftext|>", "|>", "!?")[i % 11:i % 11 + 3]]
+    got = packing.Words(WORDS).encode_words([w.encode() for w in words])
+    assert got == [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert packing.Words(WORDS).last is not None and sum(w.isalpha() for w in words) > 600
+
+
 def test_words_that_normalise_to_the_mark():
     whole = Tokenizer.from_file(WORDS)
     texts = ["a \u1fef b", "\u1fef", "x\u1fefy \u1fef\u1fef ` z", " ".join(f"w{i}" for i in range(1500)) + " \u1fef"]

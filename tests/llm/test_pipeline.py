@@ -70,5 +70,5 @@ def test_stages(spark, tmp_path):
 
 def test_every_query_of_the_folder_is_registered():
     names = __spark_entry__.queries()
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
