@@ -74,26 +74,39 @@ def memberships_between(memberships: DataFrame, start, end) -> DataFrame:
     )
 
 
+def _session_row(calendar: DataFrame, start=None, end=None, exchange: str | None = None) -> DataFrame:
+    days = prices_range(calendar.where("is_trading_day"), start, end)
+    days = days if exchange is None else days.where(F.col("exchange") == exchange)
+    return days.agg(F.sort_array(F.collect_set("session")).alias("days"))
+
+
 def session_list(calendar: DataFrame, start=None, end=None, exchange: str | None = None) -> Column:
     """Sorted sessions of an exchange as one array value, read by a scalar subquery.
 
     One entry a day: a thousand years are under a megabyte. Without `exchange` the calendar has to hold just one.
     """
-    days = prices_range(calendar.where("is_trading_day"), start, end)
-    days = days if exchange is None else days.where(F.col("exchange") == exchange)
-    return days.agg(F.sort_array(F.collect_set("session")).alias("days")).scalar()
+    return _session_row(calendar, start, end, exchange).scalar()
 
 
 def members_by_session(memberships: DataFrame, calendar: DataFrame, start=None, end=None, exchange: str | None = None) -> DataFrame:
-    """(index_id, series, session) for every session a membership covers; overlapping intervals count once."""
+    """(index_id, series, session) for every session a membership covers; overlapping intervals count once.
+
+    The intervals of a member, at most one per day of its start, are gathered before the days are laid out, so no set of days
+    is held or shuffled. Members are dealt into a stated number of partitions: by their bytes, all of them would share a task.
+    The sessions come by a join with one row: Spark takes its size as a product, so the grid is never mistaken for a small table.
+    """
+    member = ["index_id", "series"]
+    spans = memberships.where(F.col("valid_from").isNotNull()).groupBy(*member, "valid_from").agg(
+        F.bool_or(F.col("valid_to").isNull()).alias("open"), F.max("valid_to").alias("valid_to"))
+    parts = int(memberships.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = spans.repartition(parts, *member).groupBy(*member).agg(
+        F.collect_list(F.struct("valid_from", "open", "valid_to")).alias("_spans"))
     active = F.filter(
-        F.col("_days"),
-        lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d <= F.col("valid_to"))),
-    )
-    return (
-        memberships.withColumn("_days", session_list(calendar, start, end, exchange))
-        .select("index_id", "series", F.explode(active).alias("session")).distinct()
+        F.col("days"),
+        lambda d: F.exists("_spans", lambda x: (d >= x["valid_from"]) & (x["open"] | (d <= x["valid_to"]))),
     )
+    sessions = _session_row(calendar, start, end, exchange)  # one row on the right
+    return held.crossJoin(sessions).select(*member, F.explode(active).alias("session"))
 
 
 def coverage_guard(memberships: DataFrame, start) -> DataFrame:

@@ -88,6 +88,21 @@ def test_sessions_of_exchanges_are_kept_apart(spark):
     assert days("X") == {3} and days("Y") == {2}
 
 
+def test_members_days_are_laid_out_after_their_intervals_are_merged(spark):
+    """Overlapping, repeated, open and empty intervals; null keys are one member; no set of days is built above the generated rows."""
+    day = lambda d: date(2025, 1, d)
+    cal = spark.createDataFrame([("X", day(d), True) for d in range(1, 11)], "exchange string, session date, is_trading_day boolean")
+    members = spark.createDataFrame(
+        [("I", 1, day(1), day(3)), ("I", 1, day(2), day(5)), ("I", 1, day(2), day(5)), ("I", 1, day(2), day(2)), ("I", 1, day(8), None), ("I", 1, day(8), day(9)),
+         ("I", 2, day(6), day(4)), ("I", 3, None, None), (None, None, day(4), day(4)), (None, None, day(4), day(5)), ("J", 1, day(10), None)],
+        "index_id string, series bigint, valid_from date, valid_to date")
+    grid = members_by_session(members, cal)
+    got = sorted((str(r.index_id), r.series, r.session.day) for r in grid.collect())
+    assert got == sorted([("I", 1, d) for d in (1, 2, 3, 4, 5, 8, 9, 10)] + [("None", None, 4), ("None", None, 5), ("J", 1, 10)])
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Aggregate" not in plan[:plan.index("Generate explode")]
+
+
 def test_all_matches_are_ranked(spark):
     scanned = spark.range(80).selectExpr("id AS series", "'MATCHED' AS status", "cast(id AS double) AS m")
     assert ranked_matches(scanned, "m").count() == 80 and ranked_matches(scanned, "m", 5).count() == 5
