@@ -34,14 +34,19 @@ def dedupe_first_in_file(df: DataFrame, keys: Sequence[str], code: str, message:
     """Among accepted rows of an artifact, all but the first of each key become rejected.
 
     The first row numbers are a combined aggregate joined back; a key repeated millions of times is split by the
-    skew join and never sits in one window.
+    skew join and never sits in one window. The key is one struct, which is never null: Spark would else infer that none of
+    its columns is null and have them all worked out once more, on the rows that they were made from. A row that lacks a
+    part of its key is no duplicate.
     """
+    parts = ["artifact_id", *keys]
+    keyed = df.withColumn("_key", F.struct(*parts))
     ok = F.col("issue").isNull()
-    firsts = df.groupBy("artifact_id", *keys).agg(F.min(F.when(ok, F.col("row_no"))).alias("_first"))
-    joined = df.join(firsts, ["artifact_id", *keys], "left")
+    firsts = keyed.groupBy("_key").agg(F.min(F.when(ok, F.col("row_no"))).alias("_first"))
     late = ok & (F.col("row_no") > F.col("_first"))
-    return joined.withColumn("issue", F.when(late, _issue("ERROR", code, message)).otherwise(F.col("issue"))).select(
-        *df.columns)
+    for part in parts:
+        late = late & F.col(part).isNotNull()
+    return keyed.join(firsts, "_key", "left").withColumn(
+        "issue", F.when(late, _issue("ERROR", code, message)).otherwise(F.col("issue"))).select(*df.columns)
 
 
 def dedupe_two_keys(df: DataFrame, first: tuple, second: tuple) -> DataFrame:

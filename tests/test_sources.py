@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.functions import parsing
 from tapewright.operators import ingest, merge
 from tapewright.sources import artifacts
 from tapewright.sources.artifacts import SchemaDrift, header_map
@@ -172,3 +173,25 @@ def test_merge_prices_keeps_nulls_apart(spark):
                                 TAPE + ", origin string")
     cal = spark.createDataFrame([], "exchange string, session date, is_trading_day boolean")
     assert {r.series: r.action for r in merge.merge_prices(new, old, cal).collect()} == {1: "UNCHANGED", 2: "CONFLICT"}
+
+
+def test_plain_numbers_cast_no_exponent(spark):
+    """The scale is that of the whole text; only a text with an e has an exponent cast, as a failed cast is an exception."""
+    cells = ["1.2500", "1,234.5", "12", "", None, "abc", "1.5e1", "1.25E-3", "1e3", "2.e", ".75", "a.12345", " 7.10 "]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, t string").select("k", parsing.number_scale(F.col("t")).alias("scale"))
+    assert [r.scale for r in rows.orderBy("k").collect()] == [4, 1, 0, 0, 0, 0, 0, 5, 0, 0, 2, 5, 2]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and plan.index("CASE WHEN") < plan.index("cast(regexp_extract")
+
+
+def test_first_in_file_works_out_no_key_twice(spark):
+    """Rows that lack a part of the key are no duplicates, and no test for null columns is pushed to the rows that keys are made from."""
+    rows = spark.createDataFrame(
+        [("A", 1, "x", None), ("A", 2, "x", "bad"), ("A", 3, "x", None), ("A", 4, None, None), ("A", 5, None, None), ("B", 6, "x", None), (None, 7, "x", None),
+         (None, 8, "x", None), ("C", 9, "y", "bad"), ("C", 10, "y", None), ("C", 11, "y", None)],
+        "artifact_id string, row_no bigint, t string, bad string").select(
+        "artifact_id", "row_no", F.upper("t").alias("key"), F.when(F.col("bad").isNotNull(), F.struct(
+            F.lit("ERROR").alias("severity"), F.col("bad").alias("code"), F.lit("m").alias("message"))).alias("issue"))
+    out = ingest.dedupe_first_in_file(rows, ["key"], "AGAIN", "m")
+    assert {r.row_no: r.issue.code for r in out.collect() if r.issue} == {2: "bad", 3: "AGAIN", 9: "bad", 11: "AGAIN"}
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
