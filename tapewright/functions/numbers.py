@@ -6,6 +6,7 @@ codegen. Money is decimal. Ratios are double and are cut to eight digits once, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -73,3 +74,8 @@ def units8(col: Column) -> Column:
 
 def cents(col: Column) -> Column:
     return (col * F.lit(100)).cast("bigint")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

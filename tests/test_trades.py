@@ -117,3 +117,14 @@ def test_large_quantities_and_plan(spark):
         calendar(spark, WEEK), actions(spark, ()), TradeSettings())
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(series") <= 3 and "Python" not in plan and "InArrow" not in plan
+
+
+def test_a_leg_works_its_turnover_out_once(spark):
+    """Costs of a null turnover are null but for the fixed charge, and the expression of the turnover stands in the plan once."""
+    rows = spark.createDataFrame([(1, Decimal("100000")), (2, None)], "k int, v decimal(12,0)")
+    legs = rows.select("k", leg_costs(F.col("v") * F.lit(3).cast("decimal(3,0)"), "SELL", {"dp_sell": "15.50"}).alias("c"))
+    got = {r.k: r.c for r in legs.collect()}
+    assert got[1].turnover == 300000 and got[1].stt == 300 and got[1].total_charges == sum(
+        (got[1].brokerage, got[1].stt, got[1].exchange_charge, got[1].sebi_charge, got[1].gst, got[1].stamp_duty, got[1].dp_charge))
+    assert got[2].turnover is None and got[2].total_charges is None and got[2].dp_charge == Decimal("15.50")
+    assert legs._jdf.queryExecution().optimizedPlan().toString().count(" * 3") == 1
