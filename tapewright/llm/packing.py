@@ -15,6 +15,7 @@ Defined results: a null or empty text is the end token alone. Repeated rows are
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,11 +40,29 @@ class Limits:
 
 
 REMEMBERED = 300_000
+#: Bytes of texts whose words are looked up together.
+GROUP = 2 << 20
 #: Signs that are one piece behind letters: ASCII without the apostrophe, which may be a contraction's, and the mark.
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_{|}~'
 #: Stands between words that are encoded in one call.
 MARK = "`"
 
+#: Bytes as kinds: white space, small letters, digits, signs, others.
+WHITE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = bytes(
+    WHITE if c in b" \t\n\r\v\f" else LETTER if c in b"abcdefghijklmnopqrstuvwxyz" else DIGIT if c in b"0123456789" else SIGN if c in SIGNS else OTHER
+    for c in range(256))
+_PAIRS = [(former, latter) for former in range(8) for latter in range(8)]
+#: By the kinds of a byte and the one before (8 * before + kind): whether a word starts, and whether a piece of a word surely does.
+WORD_STARTS = bytes(before == WHITE != kind for before, kind in _PAIRS).ljust(256, b"\0")
+PIECE_STARTS = bytes(
+    before == WHITE != kind or {before, kind} <= {LETTER, DIGIT, SIGN} and (before != kind or kind == DIGIT) for before, kind in _PAIRS).ljust(256, b"\0")
+#: The steps of a tokenizer for which PIECE_STARTS holds and capitals count as small letters.
+FOLDING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Lead bytes of U+0300 to U+037F, the marks that may join with an ASCII letter or sign before them.
+MARKS = (b"\xcc", b"\xcd")
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -66,17 +85,30 @@ def _last_of_words(path: str) -> np.ndarray | None:
     return ends
 
 
+@lru_cache(maxsize=2)
+def _cuts_and_folds(path: str) -> bool:
+    """Whether the tokenizer folds capitals and cuts words by the pattern that PIECE_STARTS was made for."""
+    steps = json.loads(_tokenizer(path).to_str())
+    normalizers = (steps["normalizer"] or {}).get("normalizers")
+    first = ((steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return normalizers == FOLDING and first == {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+
+
 class Words:
     """Ids of texts by a tokenizer that drops white space, word by word with a bounded memory of words.
 
-    The tokenizer never looks across white space, so a text's ids are those of its words in turn. Words are remembered in two
-    generations: what was used since the last change stays. Bytes that are no UTF-8 count as U+FFFD. A special token that stands in
-    a text is one id, as in the library's own call.
+    The tokenizer never looks across white space, so a text's ids are those of its words in turn. Where the tokenizer also folds
+    capitals and cuts between ASCII letters, digits and signs, the words are cut there too, so that "The" and "the," share one entry; a
+    text with a special token, or with marks that may join with what stands before them, is left as it is. Each different word of about
+    2 MB of text is looked up once. Words are remembered in two generations: what was used since the last change stays. Bytes that are no
+    UTF-8 count as U+FFFD. A special token that stands in a text is one id, as in the library's own call.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.before = _tokenizer(path), {}, {}
         self.last = _last_of_words(path)
+        self.cuts = _cuts_and_folds(path)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words of letters, with signs behind them or not, are strung together by spaces: the letters end with the one id of their own
@@ -87,8 +119,8 @@ class Words:
         out: list[bytes] = [b""] * len(words)
         plain, parts, marked = [], [], []
         for i, w in enumerate(words):
-            letters = w.rstrip(SIGNS)
-            if self.last is not None and letters.decode(errors="replace").isalpha():
+            letters = w if w.isalpha() else w.rstrip(SIGNS)
+            if self.last is not None and (letters.isalpha() or letters.decode(errors="replace").isalpha()):
                 plain.append(i)
                 parts.append(1 + (len(letters) < len(w)))
             else:
@@ -136,19 +168,77 @@ class Words:
             out[i] = np.array(encoding.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
+    def cut(self, parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All words of the parts in turn, and for each part the number of words before it, the total last."""
+        low = [p.lower() for p in parts]
+        whole = [i for i, p in enumerate(low) if not self.cuts or any(x in p for x in (*MARKS, *self.special))]
+        for i in whole:
+            low[i] = parts[i]
+        data = b" ".join([b"", *low])
+        begins = np.cumsum([1, *(len(p) + 1 for p in low)])
+        kinds = np.frombuffer(data.translate(KINDS), np.uint8)
+        pairs = kinds[:-1] << 3 | kinds[1:]
+        starts = np.zeros(len(data), bool)
+        starts[1:] = np.frombuffer(pairs.tobytes().translate(PIECE_STARTS), bool)
+        for i in whole:
+            own = slice(begins[i], begins[i + 1] - 1)
+            starts[own] = np.frombuffer(pairs[own.start - 1:own.stop - 1].tobytes().translate(WORD_STARTS), bool)
+        inside = kinds != WHITE
+        letters = np.frombuffer(data, np.uint8)[inside]
+        offsets = np.append(np.flatnonzero(starts[inside]), len(letters)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        return words, np.searchsorted(np.flatnonzero(starts), begins)
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, remembered or encoded."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.before = {}, self.known
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         fresh = []
-        for w in set().union(*cut):
-            if w not in self.known:
-                if w in self.before:
-                    self.known[w] = self.before[w]
-                else:
-                    fresh.append(w)
-        self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for i in missing:
+            w = words[i]
+            if (ids := self.before.get(w)) is None:
+                fresh.append(i)
+            else:
+                found[i] = self.known[w] = ids
+        encoded = self.encode_words([words[i] for i in fresh])
+        for i, ids in zip(fresh, encoded, strict=True):
+            found[i] = self.known[words[i]] = ids
+        return found
+
+    def encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        words, begins = self.cut(parts)
+        if not len(words):
+            return [b""] * len(parts)
+        coded = words.dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, codes = np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[codes])])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(at[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[begins]).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def finish():
+            for (i, _), ids in zip(waiting, self.encode_parts([p for _, p in waiting]), strict=True):
+                out[i].append(ids)
+
+        for i, data in enumerate(texts):
+            for a, b in text._parts(np.frombuffer(data, np.uint8), text.SPACE):
+                waiting.append((i, data[a:b]))
+                size += b - a
+                if size >= GROUP:
+                    finish()
+                    waiting, size = [], 0
+        if waiting:
+            finish()
+        return [b"".join(ids) for ids in out]
 
 
 @lru_cache(maxsize=1)
@@ -168,7 +258,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for i, data in enumerate(text.texts_of(batch), 1):
                 kept.append(data.tobytes())
                 size += len(data)
-                if size > 1 << 20 or i == len(batch):
+                if size >= GROUP or i == len(batch):
                     out = [ids + end for ids in words.encode(kept)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
                     at, kept, size = i, [], 0

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,34 @@ def test_words_that_normalise_to_the_mark():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_capitals_signs_and_digits_share_words():
+    words = packing.Words(WORDS)
+    encoded = []
+    inner = words.encode_words
+    words.encode_words = lambda fresh: encoded.extend(fresh) or inner(fresh)
+    texts = ["The the, THE. (the) the_The 'the' the1 23 321", "1the 2, THE;"]
+    got = words.encode([t.encode() for t in texts])
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert sorted(encoded) == sorted(x.encode() for x in ["the", ",", ".", "(", ")", "_", "'the'", "1", "2", "3", ";"])
+
+
+@pytest.mark.parametrize("part,group", [(1 << 20, 2 << 20), (64, 100), (7, 1)])
+def test_words_cut_at_signs_give_the_library_ids(monkeypatch, part, group):
+    monkeypatch.setattr(packing.text, "PART", part)
+    monkeypatch.setattr(packing, "GROUP", group)
+    whole = Tokenizer.from_file(WORDS)
+    draw = random.Random(5)
+    some = [*"aZtTshHwWyYjJKiI09'' ,.-_`<|>=~^\n\t\0\x1c\x7f\x85\xa0\xb2\xbd\xdf\xe9", "'s", "'LL", "<|endoftext|>", "<|EndOfText|>"]
+    some += map(chr, [0x301, 0x308, 0x30c, 0x331, 0x338, 0x344, 0x130, 0x17f, 0x212a, 0x1fef, 0x1ffd, 0x37e, 0x2019, 0x201c, 0x2014, 0x2028])
+    some += map(chr, [0x3a3, 0xfb01, 0x1100, 0x1161, 0xac01, 0x6f22, 0x1f600])
+    plain = [x for x in some if not any(mark in x.encode() for mark in packing.MARKS) and "|" not in x]
+    texts = ["".join(draw.choices(some if i % 2 else plain, k=draw.choice([1, 3, 9, 40]))) for i in range(3000)] + ["", ",", "'", "H" + chr(0x331), "T " + chr(0x308)]
+    texts += [x + y for x in "aA9,'<=`" for y in map(chr, range(1, 0x3100))][::7 if part < 1 << 20 else 1]
+    got = packing.Words(WORDS).encode([t.encode() for t in texts])
+    expected = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, expected, strict=True) if a != b] == []
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64, 16), packing.Limits(128, 8, 40, 8)])
 def test_packing_keeps_every_id_once_and_all_limits(spark, limits):
     frame = data.documents(spark, repeated=False).where("doc_id is not null")
