@@ -20,6 +20,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ class Limits:
 
 REMEMBERED = 300_000
 #: Bytes of texts whose words are looked up together.
-GROUP = 2 << 20
+GROUP = 1 << 20
+#: Strings that the library takes at a time.
+TOGETHER = 8
 #: Signs that are one piece behind letters: ASCII without the apostrophe, which may be a contraction's, and the mark.
 SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_{|}~'
 #: Stands between words that are encoded in one call.
@@ -100,7 +103,7 @@ class Words:
     The tokenizer never looks across white space, so a text's ids are those of its words in turn. Where the tokenizer also folds
     capitals and cuts between ASCII letters, digits and signs, the words are cut there too, so that "The" and "the," share one entry; a
     text with a special token, or with marks that may join with what stands before them, is left as it is. Each different word of about
-    2 MB of text is looked up once. Words are remembered in two generations: what was used since the last change stays. Bytes that are no
+    1 MB of text is looked up once. Words are remembered in two generations: what was used since the last change stays. Bytes that are no
     UTF-8 count as U+FFFD. A special token that stands in a text is one id, as in the library's own call.
     """
 
@@ -110,6 +113,12 @@ class Words:
         self.cuts = _cuts_and_folds(path)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def library_ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. The library takes a few at a time, for its encodings are many times larger than their texts."""
+        for few in batched(texts, TOGETHER):
+            for encoding in self.tokenizer.encode_batch_fast(list(few), add_special_tokens=False):
+                yield np.array(encoding.ids, "<u4")
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words of letters, with signs behind them or not, are strung together by spaces: the letters end with the one id of their own
         that ends words, and so do the signs.
@@ -126,9 +135,8 @@ class Words:
             else:
                 marked.append(i)
         runs = [slice(at, at + 512) for at in range(0, len(plain), 512)]
-        strung = [b" ".join([words[i] for i in plain[run]]).decode() for run in runs]
-        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(strung, add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, "<u4")
+        strung = (b" ".join([words[i] for i in plain[run]]).decode() for run in runs)
+        for run, ids in zip(runs, self.library_ids(strung), strict=True):
             ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(parts[run])
             if len(ends) != last[-1]:
                 marked += plain[run]
@@ -153,9 +161,8 @@ class Words:
         out: list[bytes] = [b""] * len(words)
         runs = [strung[at:at + 512] for at in range(0, len(strung), 512)]
         between = f" {MARK} ".encode()
-        found = self.tokenizer.encode_batch_fast([between.join([words[i] for i in run]).decode(errors="replace") for run in runs], add_special_tokens=False)
-        for run, encoding in zip(runs, found, strict=True):
-            ids = np.array(encoding.ids, "<u4")
+        found = self.library_ids(between.join([words[i] for i in run]).decode(errors="replace") for run in runs)
+        for run, ids in zip(runs, found, strict=True):
             ends = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
             if len(ends) != len(run):
                 apart += run
@@ -164,8 +171,8 @@ class Words:
             for i, end in zip(run, ends, strict=True):
                 out[i] = packed_ids[4 * at:4 * end]
                 at = end + 1
-        for i, encoding in zip(apart, self.tokenizer.encode_batch_fast([words[i].decode(errors="replace") for i in apart], add_special_tokens=False), strict=True):
-            out[i] = np.array(encoding.ids, "<u4").tobytes()
+        for i, ids in zip(apart, self.library_ids([words[i].decode(errors="replace") for i in apart]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
     def cut(self, parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
