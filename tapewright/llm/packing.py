@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import batched
@@ -254,8 +254,8 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of every whole text, the end token last."""
+def _encoding(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of texts to batches of doc_id and ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -270,7 +270,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
                     at, kept, size = i, [], 0
 
-    return rows.texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return run
+
+
+def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit) of every whole text, the end token last."""
+    return rows.texts(docs).mapInArrow(_encoding(path, end_id), "doc_id long, ids binary")
 
 
 class Packer:
@@ -362,13 +367,11 @@ class Packer:
             yield self.fill()
 
 
-def packed(encoded: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """doc_id, start, length, ids (of the piece), doc_tokens, loss_tokens, sequence_id, segment, offset.
+PIECES_OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, segment long, offset long"
 
-    `encoded` has doc_id and ids; a column loss_from, if there, is the first token of each document that bears loss.
-    """
-    limits = limits or Limits()
-    first = F.coalesce(F.col("loss_from").cast("long"), F.lit(0)) if "loss_from" in encoded.columns else F.lit(0).cast("long")
+
+def _pieces(limits: Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of doc_id, ids and, if there, loss_from to batches of pieces."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
         ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("segment", pa.int64()), ("offset", pa.int64())])
@@ -378,7 +381,7 @@ def packed(encoded: DataFrame, limits: Limits | None = None) -> DataFrame:
 
         def documents():
             for batch in batches:
-                ids, froms = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                ids, froms = batch.column(0).to_pylist(), batch.column(2).to_pylist() if batch.num_columns > 2 else [0] * len(batch)
                 for doc_id, loss_from, data in zip(ids, froms, text.texts_of(batch, "ids"), strict=True):
                     if len(data):
                         yield doc_id, data.tobytes(), len(data) // 4, loss_from
@@ -393,13 +396,31 @@ def packed(encoded: DataFrame, limits: Limits | None = None) -> DataFrame:
 
         yield from text.record_batches(pieces(), schema)
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids", first.alias("loss_from")).mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, segment long, offset long")
+    return run
+
+
+def packed(encoded: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """doc_id, start, length, ids (of the piece), doc_tokens, loss_tokens, sequence_id, segment, offset.
+
+    `encoded` has doc_id and ids; a column loss_from, if there, is the first token of each document that bears loss.
+    """
+    first = F.coalesce(F.col("loss_from").cast("long"), F.lit(0)) if "loss_from" in encoded.columns else F.lit(0).cast("long")
+    return encoded.select(F.col("doc_id").cast("long"), "ids", first.alias("loss_from")).mapInArrow(_pieces(limits or Limits()), PIECES_OUT)
+
+
+def tokenized_and_packed(docs: DataFrame, path: str, end_id: int, limits: Limits | None = None) -> DataFrame:
+    """The rows of packed(tokenized(...)), in one pass: a task holds one Python process, not one for each step.
+
+    Spark keeps such processes for later tasks and gives them out in turn, so that with two a task each comes to hold a
+    tokenizer and its words.
+    """
+    encode, pack = _encoding(path, end_id), _pieces(limits or Limits())
+    return rows.texts(docs).mapInArrow(lambda batches: pack(encode(batches)), PIECES_OUT)
 
 
 def packed_documents(docs: DataFrame, path: str) -> DataFrame:
     """Pieces of all documents with a digest in place of the ids."""
-    return packed(tokenized(docs, path, end_id=2)).withColumn("ids_crc32", F.crc32("ids")).select(
+    return tokenized_and_packed(docs, path, end_id=2).withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens")
 
 

@@ -161,6 +161,15 @@ def test_packed_query(spark, tmp_path):
     assert packing.packed_documents(data.empty(spark), WORDS).count() == 0
 
 
+def test_packing_takes_one_python_process_a_task(spark):
+    frame = data.documents(spark, data.texts() + [(None, "no id"), (None, None)])
+    one = packing.packed_documents(frame, WORDS)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    steps = packing.packed(packing.tokenized(frame, WORDS, 2)).withColumn("ids_crc32", F.crc32("ids")).select(*one.columns)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, steps.collect()))
+
+
 def test_rules_count_as_the_plain_version(spark):
     frame = data.documents(spark)
     got = divergence_rules.judged(frame).collect()
